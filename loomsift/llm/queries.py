@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, langid, linedup, minhash, mixing, quality, warc
+from . import chat, decontaminate, exact, htmlmodel, langid, linedup, minhash, mixing, quality, warc
 from .session import table
 
 
@@ -48,6 +48,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmodel.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {"op2_warc_index": warc.SQL, "op4_chat_formatting": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_exact_dedup": exact.SQL}
