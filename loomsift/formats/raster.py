@@ -65,7 +65,9 @@ def gif_blocks(body: bytes):
 
 def read_gif(body: bytes, **_: object) -> Items:
     out: Items = []
-    for _, _, kind, ident, subs in gif_blocks(body):
+    for _, end, kind, ident, subs in gif_blocks(body):
+        if end < 0 and not subs:
+            continue
         if kind == "comment":
             out.append(("Comment", b"".join(subs).decode("utf-8", "replace")))
         elif kind == "application" and ident != b"NETSCAPE2.0":
