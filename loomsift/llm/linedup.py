@@ -199,7 +199,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("loomsift_cut", "chars_before", "chars_after", "n_cut").withColumn("text", F.col("text").cast("string"))
     cut = repeated_units(docs)
     out = docs.withColumn("chars_before", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    cut = cut.withColumnsRenamed({"id": "doc_id", "cut": "loomsift_cut"})
+    # always a merge join: the plan is the same at every size
+    cut = cut.withColumnsRenamed({"id": "doc_id", "cut": "loomsift_cut"}).hint("merge")
     out = out.join(cut, "doc_id", "left").select(*out.columns, "loomsift_cut")
     changed = out.mapInArrow(_rewrite, out.schema)
     return changed.withColumns({"n_cut": F.coalesce(F.size("loomsift_cut"), F.lit(0)).cast("long"), "chars_after": F.coalesce(F.length("text"), F.lit(0)).cast("long")}).drop("loomsift_cut")

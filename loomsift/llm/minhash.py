@@ -239,8 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
     members = materialize(banded.join(shared, "key").select("key", "id", "n", "lead"), "members")
     involved = members.select(F.col("id").alias("doc_id")).distinct()
-    # any row of a repeated doc_id; equal rows have equal texts
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # any row of a repeated doc_id; equal rows have equal texts. Always a merge join: the plan is the same at every size
+    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sigs = materialize(signed.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]), "sigs")
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -284,4 +284,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
     keep = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi") if "doc_id" in docs.columns else docs
+    return docs.join(keep.hint("merge"), "doc_id", "left_semi") if "doc_id" in docs.columns else docs

@@ -176,4 +176,4 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
 def take_mixture(docs: DataFrame) -> DataFrame:
     """The documents that the mixture takes, each once with ``copies`` (1 to 3) and ``taken`` words."""
     m = mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"), "taken").dropDuplicates(["doc_id"])
-    return docs.drop("copies", "taken").join(m, "doc_id").select(*[c for c in docs.columns if c not in ("copies", "taken")], "copies", "taken")
+    return docs.drop("copies", "taken").join(m.hint("merge"), "doc_id").select(*[c for c in docs.columns if c not in ("copies", "taken")], "copies", "taken")
