@@ -13,21 +13,20 @@ from dataclasses import dataclass
 
 from ..options import Options
 from .errors import CleanError, FormatError, TooLarge, Unsupported
+from .fixed import ARCHIVE_SUFFIXES, HANDLERS, PLAIN_SUFFIXES
 
 Groups = list[tuple[str, list[tuple[str, str]]]]
 
-SUFFIXES = {".tar.gz": "tar.gz", ".tgz": "tar.gz", ".tar.bz2": "tar.bz2", ".tbz2": "tar.bz2", ".tbz": "tar.bz2", ".tar.xz": "tar.xz", ".txz": "tar.xz", ".tar.zst": "tar.zst", ".tzst": "tar.zst", ".tar": "tar", ".zip": "zip"}
-PLAIN = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz", ".zst": "zstd"}
-NESTED = frozenset(f"application/{x}" for x in "zip x-tar gzip x-gzip x-compressed x-bzip2 x-bzip-compressed-tar x-gtar x-xz zstd x-zstd".split())
+NESTED = frozenset(HANDLERS["archive"])
 
 
 def probe(name: str) -> str:
     """The archive format of a file name; raises for plain compressed files and unknown suffixes."""
     lower = name.lower()
-    for suffix in sorted(SUFFIXES, key=len, reverse=True):
+    for suffix in sorted(ARCHIVE_SUFFIXES, key=len, reverse=True):
         if lower.endswith(suffix):
-            return SUFFIXES[suffix]
-    for suffix, kind in PLAIN.items():
+            return ARCHIVE_SUFFIXES[suffix]
+    for suffix, kind in PLAIN_SUFFIXES.items():
         if lower.endswith(suffix):
             raise Unsupported(f"a plain {kind} file is no archive")
     raise Unsupported("no known archive suffix")

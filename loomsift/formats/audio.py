@@ -7,24 +7,14 @@ import struct
 
 from ..options import Options
 from .errors import CleanError, FormatError
+from .fixed import AUDIO_NAMES, PICTURE_KINDS
 from .raster import build_riff, read_gif, read_image, riff_chunks
 
 Items = list[tuple[str, str]]
 
-_NAMES = {
-    "TIT2": "Title", "TPE1": "Artist", "TALB": "Album", "TPE2": "Album Artist", "TRCK": "Track Number", "TYER": "Year", "TDRC": "Recording Date", "TCON": "Genre", "COMM": "Comment", "TCOM": "Composer",
-    "TPE3": "Conductor", "TENC": "Encoded By", "TSSE": "Encoder", "TCOP": "Copyright", "USLT": "Lyrics", "TPUB": "Publisher", "TPE4": "Remixer", "TPOS": "Disc Number", "TBPM": "BPM",
-    "TITLE": "Title", "ARTIST": "Artist", "ALBUM": "Album", "ALBUMARTIST": "Album Artist", "TRACKNUMBER": "Track Number", "DATE": "Recording Date", "YEAR": "Year", "GENRE": "Genre", "COMMENT": "Comment",
-    "DESCRIPTION": "Description", "COMPOSER": "Composer", "CONDUCTOR": "Conductor", "COPYRIGHT": "Copyright", "LYRICS": "Lyrics", "PUBLISHER": "Publisher", "DISCNUMBER": "Disc Number", "BPM": "BPM",
-    "INAM": "Title", "IART": "Artist", "IPRD": "Album", "ICRD": "Recording Date", "IGNR": "Genre", "ICMT": "Comment", "ISFT": "Encoder", "ICOP": "Copyright", "ITRK": "Track Number",
-    "\xa9nam": "Title", "\xa9ART": "Artist", "\xa9alb": "Album", "aART": "Album Artist", "\xa9day": "Recording Date", "\xa9gen": "Genre", "\xa9cmt": "Comment", "\xa9wrt": "Composer", "\xa9too": "Encoder",
-    "cprt": "Copyright", "\xa9lyr": "Lyrics", "trkn": "Track Number", "disk": "Disc Number", "tmpo": "BPM", "NAME": "Title", "AUTH": "Artist", "(c) ": "Copyright", "ANNO": "Comment",
-}
-_PICTURES = {3: "CoverFront", 4: "CoverBack"}
-
 
 def _picture(n: int, kind: int, data: bytes) -> Items:
-    out = [(f"Picture #{n}", f"{_PICTURES.get(kind, 'Other')}, {len(data)} bytes")]
+    out = [(f"Picture #{n}", f"{PICTURE_KINDS.get(kind, 'Other')}, {len(data)} bytes")]
     try:
         inner = read_gif(data) if data[:3] == b"GIF" else read_image(data)
     except Exception:
@@ -58,7 +48,7 @@ def id3_items(body: bytes) -> Items:
         size = _syncsafe(raw) if major >= 4 else int.from_bytes(raw, "big")
         data = body[at + 10 : min(at + 10 + size, end)]
         at += 10 + size
-        name = _NAMES.get(key, key)
+        name = AUDIO_NAMES.get(key, key)
         if key == "APIC":
             code = data[0] if data else 0
             mime_end = data.find(b"\0", 1)
@@ -119,7 +109,7 @@ def comment_items(data: bytes, tag: str) -> Items:
                 pictures += 1
                 out += _flac_picture(pictures, base64.b64decode(value))
             elif key.upper() != "ENCODER":
-                out.append((f"[{tag}] {_NAMES.get(key.upper(), key)}", value))
+                out.append((f"[{tag}] {AUDIO_NAMES.get(key.upper(), key)}", value))
         return out
     except (struct.error, ValueError):
         return []
@@ -272,7 +262,7 @@ def _wav_items(body: bytes) -> Items:
             while at + 8 <= len(data):
                 n = int.from_bytes(data[at + 4 : at + 8], "little")
                 key = data[at : at + 4].decode("latin-1")
-                out.append((f"[RiffInfo] {_NAMES.get(key, key)}", data[at + 8 : at + 8 + n].split(b"\0")[0].decode("utf-8", "replace")))
+                out.append((f"[RiffInfo] {AUDIO_NAMES.get(key, key)}", data[at + 8 : at + 8 + n].split(b"\0")[0].decode("utf-8", "replace")))
                 at += 8 + n + (n & 1)
         elif kind in (b"id3 ", b"ID3 ") and data[:3] == b"ID3":
             out += id3_items(data)
@@ -287,7 +277,7 @@ def _aiff_items(body: bytes) -> Items:
     out: Items = []
     for kind, data, _ in riff_chunks(body, _aiff_form(body)):
         if kind in (b"NAME", b"AUTH", b"(c) ", b"ANNO"):
-            out.append((f"[AiffText] {_NAMES[kind.decode()]}", data.rstrip(b"\0").decode("utf-8", "replace")))
+            out.append((f"[AiffText] {AUDIO_NAMES[kind.decode()]}", data.rstrip(b"\0").decode("utf-8", "replace")))
         elif kind == b"ID3 " and data[:3] == b"ID3":
             out += id3_items(data)
     return out
@@ -324,10 +314,10 @@ def mp4_items(body: bytes, prefix: str = "[Mp4Ilst] ") -> Items:
                             if key == b"covr":
                                 out.extend(_picture(1 + sum(k.startswith("Picture") and "\N{RIGHTWARDS ARROW}" not in k for k, _ in out), 3, data))
                             else:
-                                out.append((prefix + _NAMES.get(name, name), data.decode("utf-8", "replace") if flag == 1 else "(binary data)"))
+                                out.append((prefix + AUDIO_NAMES.get(name, name), data.decode("utf-8", "replace") if flag == 1 else "(binary data)"))
             elif path[-1:] == (b"udta",) and kind[:1] == b"\xa9" and stop - start > 4:
                 n = int.from_bytes(body[start : start + 2], "big")
-                out.append((prefix + _NAMES.get(kind.decode("latin-1"), kind.decode("latin-1")), body[start + 4 : start + 4 + n].decode("utf-8", "replace")))
+                out.append((prefix + AUDIO_NAMES.get(kind.decode("latin-1"), kind.decode("latin-1")), body[start + 4 : start + 4 + n].decode("utf-8", "replace")))
 
     walk(0, len(body), ())
     return out

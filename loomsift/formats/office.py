@@ -10,34 +10,25 @@ import uuid
 from ..options import Options
 from .archive import build_zip, first_of_each, open_zip, read_member, traverses
 from .errors import CleanError, FormatError, TooLarge, utf8
+from .fixed import JUNK_BEGINNINGS, JUNK_ENDS, JUNK_PATHS, OFFICE_MEDIA, OFFICE_PARTS, OFFICE_STUBS, OFFICE_TEXTS, OFFICE_XML
 from .xmltext import Node, edit_attrs, nodes, rewrite, sort_attributes, tag_texts
 
-_TEXTS = frozenset(
-    """contributor publisher rights identifier printed-by print-date language generator editing-duration editing-cycles date creation-date initial-creator
-    Lines Paragraphs Characters Words Pages TotalTime Manager Company AppVersion Application category revision modified created lastModifiedBy keywords description subject title creator""".split()
-)
-_PARTS = ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml", "meta.xml", "content.opf", "OEBPS/content.opf", "OPS/content.opf")
-_MEDIA = {"jxl": "jxl", "heif": "heif", "heic": "heic", "svg": "svg+xml", "bmp": "bmp", "tiff": "tiff", "tif": "tiff", "gif": "gif", "webp": "webp", "png": "png", "jpeg": "jpeg", "jpg": "jpeg"}
-_APPS = "(?:word|ppt|xl)/"
-_JUNK = re.compile(
-    rf"""customXml/ | docProps/custom\.xml$ | {_APPS}(?:printerSettings/|theme|tags/|glossary/) | {_APPS}(?:people|persons/person|viewProps|presProps|numbering)\.xml$
-    | .*(?:webSettings\.xml|docMetadata/LabelInfo\.xml)$ | (?:.*/)?comments[^/]*\.xml(?:\.rels)?$ | .*/threadedComments/
-    | Thumbnails/ | Configurations2/ | layout-cache$ | meta\.xml$ | iTunesMetadata\.plist$ | META-INF/calibre_bookmarks\.txt$""",
-    re.X | re.S,
-)
+_TEXTS = frozenset(OFFICE_TEXTS)
+_JUNK = frozenset(JUNK_PATHS)
 
 
 def is_junk(name: str) -> bool:
-    return bool(_JUNK.match(name))
+    """A part that is left out: by its path, or a part of comments."""
+    comments = re.search(r"(^|/)comments[^/]*\.xml(\.rels)?$", name) or "/threadedComments/" in name
+    return name in _JUNK or name.startswith(tuple(JUNK_BEGINNINGS)) or name.endswith(tuple(JUNK_ENDS)) or bool(comments)
 
 
 def media_type(name: str) -> str | None:
-    kind = _MEDIA.get(name.lower().rpartition(".")[2]) if "." in name else None
-    return f"image/{kind}" if kind else None
+    return OFFICE_MEDIA.get(name.lower().rpartition(".")[2]) if "." in name else None
 
 
 def is_xml(name: str) -> bool:
-    return name.lower().endswith((".xhtml", ".ncx", ".opf", ".rels", ".xml"))
+    return name.lower().endswith(tuple(OFFICE_XML))
 
 
 def package_kind(z, o: Options) -> str:
@@ -55,7 +46,7 @@ def read_office(body: bytes, name: str = "", options: Options = Options(), **_:
     z = open_zip(body)
     names = z.namelist()
     groups = []
-    for part in _PARTS:
+    for part in OFFICE_PARTS:
         if part in names:
             try:
                 items = tag_texts(utf8(read_member(z, z.getinfo(part), options)), _TEXTS)
@@ -80,13 +71,6 @@ def read_office(body: bytes, name: str = "", options: Options = Options(), **_:
 
 
 # ---- OOXML ----
-_STUBS = {
-    "docProps/core.xml": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties"/>',
-    "docProps/app.xml": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"/>',
-    "docProps/custom.xml": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/custom-properties"/>',
-}
-
-
 def is_fingerprint(local: str) -> bool:
     return local.lower().startswith("rsid") or local.lower() == "nsid"
 
@@ -250,8 +234,8 @@ def _clean_part(kind: str, n: str, data: bytes, kept: set[str], seed: bytes, o:
     mime = media_type(n)
     if mime:
         return clean_body(data, n.rsplit("/", 1)[-1], mime, o)
-    if kind == "ooxml" and n in _STUBS:
-        return _STUBS[n].encode()
+    if kind == "ooxml" and n in OFFICE_STUBS:
+        return OFFICE_STUBS[n].encode()
     if not is_xml(n):
         return data
     src = utf8(data)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import struct
 
+from .fixed import IPTC_NAMES, XMP_PREFIXES
+
 Items = list[tuple[str, str]]
 
-_PREFIXES = frozenset("plus lr stRef stEvt crs tiff exif cc aux Iptc4xmpCore photoshop pdfx pdf xmpRights xmpMM xmp dc".split())
 _TAG = re.compile(r"<!--.*?-->|<\?.*?\?>|</[^>]*>|<([^ \t\r\n>/]+)[^>]*?(/?)>", re.S)
 
 
@@ -24,8 +25,8 @@ def xmp_items(body: bytes, nested: bool = False) -> Items:
         if m[1] is None:
             continue
         if nested:
-            out += [(f"XMP {k}", v.strip()) for k, v in re.findall(r"\s([\w.-]+:[\w.-]+)\s*=\s*[\"']([^\"']*)", m[0]) if k.split(":")[0] in _PREFIXES and v.strip()]
-        if m[2] or m[1].split(":")[0] not in _PREFIXES:
+            out += [(f"XMP {k}", v.strip()) for k, v in re.findall(r"\s([\w.-]+:[\w.-]+)\s*=\s*[\"']([^\"']*)", m[0]) if k.split(":")[0] in XMP_PREFIXES and v.strip()]
+        if m[2] or m[1].split(":")[0] not in XMP_PREFIXES:
             continue
         end = src.find(f"</{m[1]}>", at)
         if end < 0:
@@ -39,16 +40,6 @@ def xmp_items(body: bytes, nested: bool = False) -> Items:
     return out
 
 
-_IIM = {
-    "5 Object Name": 0, "10 Urgency": 0, "15 Category": 0, "20 Supplemental Categories": 0, "22 Fixture Identifier": 0, "25 Keywords": 0, "40 Special Instructions": 0,
-    "55 Date Created": 0, "60 Time Created": 0, "62 Digital Creation Date": 0, "63 Digital Creation Time": 0, "65 Originating Program": 0, "70 Program Version": 0,
-    "80 By-line": 0, "85 By-line Title": 0, "90 City": 0, "92 Sub-location": 0, "95 Province / State": 0, "100 Country Code": 0, "101 Country": 0,
-    "103 Original Transmission Reference": 0, "105 Headline": 0, "110 Credit": 0, "115 Source": 0, "116 Copyright Notice": 0, "118 Contact": 0, "120 Caption": 0,
-    "122 Writer / Editor": 0, "130 Image Type": 0, "131 Image Orientation": 0, "135 Language Identifier": 0,
-}
-IIM_NAMES = {int(k.split(" ", 1)[0]): k.split(" ", 1)[1] for k in _IIM}
-
-
 def iim_items(body: bytes) -> Items:
     out: Items = []
     at = body.find(b"\x1c")
@@ -56,8 +47,8 @@ def iim_items(body: bytes) -> Items:
         record, dataset, n = struct.unpack_from(">BBH", body, at + 1)
         if at + 5 + n > len(body):
             break
-        if record == 2 and dataset in IIM_NAMES:
-            out.append((f"IPTC {IIM_NAMES[dataset]}", body[at + 5 : at + 5 + n].decode("utf-8", "replace")))
+        if record == 2 and dataset in IPTC_NAMES:
+            out.append((f"IPTC {IPTC_NAMES[dataset]}", body[at + 5 : at + 5 + n].decode("utf-8", "replace")))
         at = body.find(b"\x1c", at + 5 + n)
     return out
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 from .errors import CleanError, FormatError
+from .fixed import PDF_ADVICE, PDF_CATALOG, PDF_INFO, PDF_NAMES, PDF_PAGE, PDF_XOBJECT
 from .packets import xmp_items
 
 Items = list[tuple[str, str]]
@@ -240,23 +241,12 @@ class Document:
         return out
 
 
-_INFO = "Author Title Subject Keywords Creator Producer CreationDate ModDate Trapped".split()
-_ADVICE = {
-    "OpenAction": "Open action", "AA": "Additional actions", "AcroForm": "Form fields", "StructTreeRoot": "Structure tree", "PieceInfo": "Producer data", "PageLabels": "Page labels",
-    "Outlines": "Bookmarks", "Lang": "Language",
-}
-_CATALOG = frozenset("NeedsRendering URI Lang Collection Requirements Legal Perms SpiderInfo Threads Outlines PageLabels PieceInfo MarkInfo StructTreeRoot AcroForm AA OpenAction Metadata".split())
-_NAMES = frozenset("Renditions AlternatePresentations AP JavaScript EmbeddedFiles".split())
-_PAGE = frozenset("B AA ID UserUnit PieceInfo Annots Metadata".split())
-_XOBJECT = frozenset("LastModified OPI PieceInfo Metadata".split())
-
-
 def read_pdf(body: bytes, extended: bool = False, **_: object) -> Items:
     d = Document(body)
     out: Items = []
     info = d.get(d.trailer.get("Info"))
     if isinstance(info, dict):
-        for k in [*_INFO, *(k for k in info if k not in _INFO)]:
+        for k in [*PDF_INFO, *(k for k in info if k not in PDF_INFO)]:
             if k in info and (t := text_of(d.get(info[k]))):
                 out.append((k, t))
     meta = d.get(d.root.get("Metadata"))
@@ -266,7 +256,7 @@ def read_pdf(body: bytes, extended: bool = False, **_: object) -> Items:
         except FormatError:
             fields = []
         out += fields or [("XMP Metadata", "present")]
-    out += [(label, "present") for k, label in _ADVICE.items() if k in d.root]
+    out += [(label, "present") for k, label in PDF_ADVICE.items() if k in d.root]
     names = d.root.get("Names")
     if isinstance(names, Ref) or extended:
         names = d.get(names)
@@ -306,21 +296,21 @@ def clean_pdf(body: bytes, **_: object) -> bytes:
     """The objects that the stripped catalog still reaches, renumbered; the /ID follows from the content."""
     d = Document(body)
     root = d.root
-    for k in _CATALOG & set(root):
-        del root[k]
+    for k in PDF_CATALOG:
+        root.pop(k, None)
     names = d.get(root.get("Names"))
     if isinstance(names, dict):
-        for k in _NAMES & set(names):
-            del names[k]
+        for k in PDF_NAMES:
+            names.pop(k, None)
         if not names:
             root.pop("Names", None)
     for p in d.pages():
-        for k in _PAGE & set(p):
-            del p[k]
+        for k in PDF_PAGE:
+            p.pop(k, None)
     for v in d.objects.values():
         if isinstance(v, Stream):
-            for k in _XOBJECT & set(v.dict):
-                del v.dict[k]
+            for k in PDF_XOBJECT:
+                v.dict.pop(k, None)
     order: list[int] = []
     number: dict[int, int] = {}
     stack: list = [d.trailer["Root"]]

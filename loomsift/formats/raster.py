@@ -6,6 +6,7 @@ import struct
 import zlib
 
 from .errors import CleanError, FormatError
+from .fixed import PNG_DROP
 from .packets import _SIZES, _STRUCTURE, exif_items, iptc_items, tiff_entries, xmp_items
 
 Items = list[tuple[str, str]]
@@ -170,9 +171,6 @@ def png_chunks(body: bytes):
     raise FormatError("the PNG is cut off")
 
 
-_PNG_DROP = frozenset({b"tIME", b"zTXt", b"iTXt", b"tEXt", b"eXIf", b"iCCP"})
-
-
 def _png_text(kind: bytes, data: bytes) -> tuple[str, str] | None:
     key, _, rest = data.partition(b"\0")
     try:
@@ -206,7 +204,7 @@ def _png_items(body: bytes, extended: bool) -> Items:
 
 
 def _clean_png(body: bytes) -> bytes:
-    return body[:8] + b"".join(raw for kind, _, raw in png_chunks(body) if kind not in _PNG_DROP)
+    return body[:8] + b"".join(raw for kind, _, raw in png_chunks(body) if kind not in PNG_DROP)
 
 
 # ---- WebP ----

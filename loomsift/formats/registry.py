@@ -8,45 +8,10 @@ from contextlib import contextmanager
 
 from ..options import Options
 from .errors import FormatError, TooLarge, Unsupported
+from .fixed import HANDLERS, MIME_OF, SUPPORTED  # noqa: F401
 
-_ODF = "application/vnd.oasis.opendocument."
-_OOXML = "application/vnd.openxmlformats-officedocument."
-#: handler: MIME types.
-HANDLERS: dict[str, list[str]] = {
-    "html": ["text/html", "application/xhtml+xml"],
-    "css": ["text/css"],
-    "svg": ["image/svg+xml"],
-    "torrent": ["application/x-bittorrent"],
-    "gif": ["image/gif"],
-    "image": ["image/" + x for x in "jxl heif heic tiff webp png jpeg".split()],
-    "harmless": ["text/plain", *("image/" + x for x in "x-portable-anymap x-portable-bitmap x-portable-graymap x-portable-pixmap x-ms-bmp bmp".split())],
-    "pdf": ["application/pdf"],
-    "audio": ["audio/" + x for x in "opus aiff m4a x-m4a x-flac x-aiff aac wav x-wav mp4 vorbis ogg flac mpeg".split()],
-    "video": ["video/" + x for x in "ogg x-flv x-ms-wmv quicktime avi x-msvideo webm x-matroska mp4".split()],
-    "document": ["application/epub+zip", *(_ODF + x for x in "graphics presentation spreadsheet text".split()), *(_OOXML + x for x in ("presentationml.presentation", "spreadsheetml.sheet", "wordprocessingml.document"))],
-    "archive": ["application/" + x for x in "x-zstd zstd x-xz x-gtar x-bzip-compressed-tar x-bzip2 x-compressed x-gzip gzip x-tar zip".split()],
-}
 HANDLER_OF = {mime: h for h, mimes in HANDLERS.items() for mime in mimes}
 OTHER = "application/octet-stream"
-#: The last extension, lower-cased, to MIME type.
-MIME_OF = {
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "jpe": "image/jpeg", "png": "image/png", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "heic": "image/heic", "heif": "image/heif",
-    "jxl": "image/jxl", "gif": "image/gif", "pdf": "application/pdf", "mp3": "audio/mpeg", "flac": "audio/flac", "ogg": "audio/ogg", "oga": "audio/ogg", "opus": "audio/opus", "wav": "audio/wav",
-    "m4a": "audio/m4a", "aac": "audio/aac", "aiff": "audio/aiff", "aif": "audio/aiff", "odt": _ODF + "text", "ods": _ODF + "spreadsheet", "odp": _ODF + "presentation", "odg": _ODF + "graphics",
-    "docx": _OOXML + "wordprocessingml.document", "xlsx": _OOXML + "spreadsheetml.sheet", "pptx": _OOXML + "presentationml.presentation", "epub": "application/epub+zip", "mp4": "video/mp4",
-    "m4v": "video/mp4", "mkv": "video/x-matroska", "webm": "video/webm", "avi": "video/x-msvideo", "mov": "video/quicktime", "qt": "video/quicktime", "wmv": "video/x-ms-wmv", "flv": "video/x-flv",
-    "ogv": "video/ogg", "txt": "text/plain", "text": "text/plain", "log": "text/plain", "bmp": "image/bmp", "ppm": "image/x-portable-pixmap", "pgm": "image/x-portable-graymap",
-    "pbm": "image/x-portable-bitmap", "pnm": "image/x-portable-anymap", "svg": "image/svg+xml", "css": "text/css", "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml",
-    "xht": "application/xhtml+xml", "torrent": "application/x-bittorrent", "zip": "application/zip", "tar": "application/x-tar", "gz": "application/gzip", "tgz": "application/gzip",
-    "bz2": "application/x-bzip2", "tbz": "application/x-bzip2", "tbz2": "application/x-bzip2", "xz": "application/x-xz", "txz": "application/x-xz", "zst": "application/zstd", "tzst": "application/zstd",
-    "json": "application/json", "xml": "text/xml", "js": "text/javascript", "csv": "text/csv", "md": "text/markdown",
-}
-#: Extensions that are read and cleaned; compressed tars are listed by all their suffixes.
-SUPPORTED = (
-    *"jpg jpeg png webp tif tiff heic heif gif jxl svg bmp ppm pgm pbm pnm pdf odt ods odp odg docx xlsx pptx epub".split(),
-    *"mp3 flac ogg opus wav m4a aac aiff mp4 mkv webm avi mov wmv flv txt css html htm xhtml torrent zip tar".split(),
-    *"tar.gz tgz tar.bz2 tbz2 tar.xz txz tar.zst tzst".split(),
-)
 
 
 def mime_of(name: str) -> str:

@@ -5,21 +5,11 @@ from __future__ import annotations
 import re
 
 from .errors import utf8
+from .fixed import SVG_DROP, SVG_EVENTS, SVG_PREFIXES
 from .xmltext import Node, decode, edit_attrs, nodes, rewrite
 
-_DROP = frozenset({"iframe", "foreignObject", "style", "script", "namedview", "desc", "title", "metadata"})
-_PREFIXES = ("cc:", "dc:", "rdf:", "sodipodi:", "inkscape:")
-#: Event attributes of HTML and SVG, by what follows "on".
-_EVENTS = frozenset(
-    "on" + x
-    for x in """zoom wheel waiting volumechange unload unhandledrejection transitionstart transitionend toggle timeupdate suspend submit storage stalled slotchange show select
-    seeking seeked securitypolicyviolation scrollend scroll resize reset repeat rejectionhandled ratechange progress popstate pointerup pointerover pointerout pointermove
-    pointerleave pointerenter pointerdown pointercancel playing play pause paste pageshow pagehide online offline mouseup mouseover mouseout mousemove mouseleave mouseenter
-    mousedown messageerror message lostpointercapture loadstart loadedmetadata loadeddata load languagechange keyup keypress keydown invalid input hashchange gotpointercapture
-    formdata focusout focusin focus error ended end emptied durationchange drop dragstart dragover dragleave dragenter dragend drag dblclick cut cuechange copy contextrestored
-    contextmenu contextlost close click change canplaythrough canplay cancel blur begin beforeunload beforeprint beforeinput auxclick animationstart animationiteration
-    animationend afterprint activate abort""".split()
-)
+_EVENTS = frozenset(SVG_EVENTS)
+_PREFIXES = tuple(SVG_PREFIXES)
 
 
 def is_event(name: str) -> bool:
@@ -47,7 +37,7 @@ def read_svg(body: bytes, **_: object) -> list[tuple[str, str]]:
     for n in nodes(body.decode("utf-8", "replace"), strict=False):
         if n.kind in ("open", "empty"):
             out += [(f"<{n.name}> {k}{kind}", v) for k, v in n.attrs() if (kind := _leak(k, v)) is not None]
-            if n.kind == "open" and n.local in _DROP:
+            if n.kind == "open" and n.local in SVG_DROP:
                 inside = n.local
         elif n.kind == "close":
             inside = None
@@ -60,4 +50,4 @@ def clean_svg(body: bytes, **_: object) -> bytes:
     def change(n: Node) -> str:
         return edit_attrs(n.raw, lambda k, v: _leak(k, v) is None and not (k.startswith("xmlns:") and k[6:] + ":" in _PREFIXES))
 
-    return rewrite(utf8(body), drop=lambda n: n.local in _DROP, change=change, comments=False).encode()
+    return rewrite(utf8(body), drop=lambda n: n.local in SVG_DROP, change=change, comments=False).encode()

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 from .errors import FormatError
+from .fixed import TORRENT_KEEP
 
 DEPTH = 256
-_KEEP = (b"announce", b"announce-list", b"info")
 _INT = re.compile(rb"i(0|-?[1-9][0-9]*)e")
 _LEN = re.compile(rb"(0|[1-9][0-9]*):")
 
@@ -96,9 +96,9 @@ def _root(body: bytes) -> dict:
 
 def read_torrent(body: bytes, **_: object) -> list[tuple[str, str]]:
     v = _root(body)
-    return [(k.decode("utf-8", "replace"), display(v[k])) for k in sorted(v) if k not in _KEEP]
+    return [(k.decode("utf-8", "replace"), display(v[k])) for k in sorted(v) if k not in TORRENT_KEEP]
 
 
 def clean_torrent(body: bytes, **_: object) -> bytes:
     v = _root(body)
-    return encode({k: v[k] for k in _KEEP if k in v})
+    return encode({k: v[k] for k in TORRENT_KEEP if k in v})

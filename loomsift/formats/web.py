@@ -6,12 +6,10 @@ import re
 from dataclasses import dataclass
 
 from .errors import utf8
+from .fixed import HTML_DROP, HTML_META_NAMES, HTML_RAW_TEXT, HTML_VOID
 
 Items = list[tuple[str, str]]
 
-_RAWTEXT = ("script", "style", "textarea", "title")
-_DROP = frozenset({"noscript", "object", "iframe", "script", "style", "embed", "base", "link", "meta"})
-_VOID = frozenset("wbr track source param meta link input img hr embed col br base area".split())
 _WS = " \t\r\n\x0c"
 
 
@@ -27,7 +25,7 @@ class Token:
 
 _TAG_NAME = re.compile(r"<([^ \t\r\n>/]*)")
 _TAG_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
-_RAW_END = {n: re.compile(rf"</{n}(?=[>/ \t\r\n\x0c]|$)", re.I) for n in _RAWTEXT}
+_RAW_END = {n: re.compile(rf"</{n}(?=[>/ \t\r\n\x0c]|$)", re.I) for n in HTML_RAW_TEXT}
 
 
 def tokens(src: str):
@@ -63,7 +61,7 @@ def tokens(src: str):
             tag = Token("open", src[at:end], name[1].lower() if name[1].isascii() else re.sub("[A-Z]+", lambda x: x[0].lower(), name[1]))
             tag.closed = src[at : end - 1].rstrip(_WS + ">").endswith("/")
             yield tag
-            if tag.name in _RAWTEXT and not tag.closed:
+            if tag.name in HTML_RAW_TEXT and not tag.closed:
                 stop = _RAW_END[tag.name].search(src, end)
                 stop = stop.start() if stop else n
                 if stop > end:
@@ -111,14 +109,14 @@ def html_items(src: str) -> Items:
                 title = []
             elif t.name == "meta":
                 a = attributes(t.raw)
-                label = _first(a, "itemprop", "property", "http-equiv", "name")
+                label = _first(a, *HTML_META_NAMES)
                 out.append(("(meta)" if label is None else label, _first(a, "content") or ""))
             elif t.name == "link":
                 a = attributes(t.raw)
                 out.append(("<link>", " ".join(f"{k}={v}" for k in ("rel", "href") if (v := _first(a, k)) is not None)))
             elif t.name in pointer:
                 out.append((f"<{t.name}>", f"{pointer[t.name]}={_first(attributes(t.raw), pointer[t.name]) or ''}"))
-            elif t.name in ("noscript", "script", "style"):
+            elif t.name in ("script", "style", "noscript"):
                 source = _first(attributes(t.raw), "src")
                 if source is not None:
                     out.append((f"<{t.name}>", f"src={source}"))
@@ -168,14 +166,14 @@ def clean_html_text(src: str) -> str:
                     dropped.pop()
             continue
         if t.kind == "open":
-            if t.name in _DROP:
-                if not t.closed and t.name not in _VOID:
+            if t.name in HTML_DROP:
+                if not t.closed and t.name not in HTML_VOID:
                     dropped.append(t.name)
                 continue
             out.append(strip_handlers(t.raw))
             titles += t.name == "title" and not t.closed
         elif t.kind == "close":
-            if t.name not in _DROP:
+            if t.name not in HTML_DROP:
                 titles -= t.name == "title" and titles > 0
                 out.append(t.raw)
         elif t.kind == "decl" or t.kind == "text" and not titles:

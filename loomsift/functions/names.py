@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..formats.archive import PLAIN, SUFFIXES
+from ..formats.fixed import ARCHIVE_SUFFIXES, PLAIN_SUFFIXES
 from ..formats.registry import HANDLER_OF, MIME_OF, OTHER
 
 
@@ -35,9 +35,9 @@ def handler(mime: Column) -> Column:
 def archive_format(name: Column) -> Column:
     """Format by suffix, longest first; ``plain <kind>`` for compressed files that are no archives, else ``unknown``."""
     lower, out = F.lower(name), None
-    for suffix in sorted(SUFFIXES, key=len, reverse=True):
-        out = (F if out is None else out).when(lower.endswith(suffix), SUFFIXES[suffix])
-    for suffix, kind in PLAIN.items():
+    for suffix in sorted(ARCHIVE_SUFFIXES, key=len, reverse=True):
+        out = (F if out is None else out).when(lower.endswith(suffix), ARCHIVE_SUFFIXES[suffix])
+    for suffix, kind in PLAIN_SUFFIXES.items():
         out = out.when(lower.endswith(suffix), f"plain {kind}")
     return out.otherwise("unknown")
 

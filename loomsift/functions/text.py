@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRUCTURAL = (
-    "compatible_brands minor_version major_brand vendor_id handler_name title language identifier encoder streams stream container codec bitrate pages icc color_space colorspace "
-    "bit_depth bitdepth sample_rate samplerate channels duration height width dimensions format filename"
-).split() + ["page count", "archive entries", "embedded images", "has xmp", "has exif", "has icc profile"]
+from ..formats.fixed import STRUCTURAL_KEYS
 
 
 def trim(c: Column) -> Column:
@@ -23,7 +20,7 @@ def ascii_lower(c: Column) -> Column:
 def is_structural_key(key: Column) -> Column:
     lower = ascii_lower(key)
     out = F.lit(False)
-    for k in STRUCTURAL:
+    for k in STRUCTURAL_KEYS:
         out = out | F.contains(lower, F.lit(k))
     return out
 

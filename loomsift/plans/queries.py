@@ -213,9 +213,9 @@ def handler_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archive_sql() -> str:
-    from ..formats.archive import PLAIN, SUFFIXES
+    from ..formats.fixed import ARCHIVE_SUFFIXES, PLAIN_SUFFIXES
 
-    whens = [f"WHEN ends_with(lower(name), '{s}') THEN '{SUFFIXES[s]}'" for s in sorted(SUFFIXES, key=len, reverse=True)] + [f"WHEN ends_with(lower(name), '{s}') THEN 'plain {k}'" for s, k in PLAIN.items()]
+    whens = [f"WHEN ends_with(lower(name), '{s}') THEN '{ARCHIVE_SUFFIXES[s]}'" for s in sorted(ARCHIVE_SUFFIXES, key=len, reverse=True)] + [f"WHEN ends_with(lower(name), '{s}') THEN 'plain {k}'" for s, k in PLAIN_SUFFIXES.items()]
     return f"WITH {X.NAMES.cte()} SELECT name, CASE {' '.join(whens)} ELSE 'unknown' END AS format FROM lit_names"
 
 
@@ -330,7 +330,7 @@ def cumulative_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.within_total_cap(X.MEMBERS.df(spark), 1000).select("file_id", "ord", "total", "capped")
 
 
-@query("WITH " + X.KEYS.cte() + " SELECT key, " + " OR ".join(f"contains(lower(key), {X.sql_value(k)})" for k in T.STRUCTURAL) + " AS structural FROM lit_keys")
+@query("WITH " + X.KEYS.cte() + " SELECT key, " + " OR ".join(f"contains(lower(key), {X.sql_value(k)})" for k in T.STRUCTURAL_KEYS) + " AS structural FROM lit_keys")
 def structural_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.KEYS.df(spark).select("key", T.is_structural_key(F.col("key")).alias("structural"))
 
