@@ -201,8 +201,15 @@ PDF_CATALOG = [
 ]
 #: Catalog keys that are reported, and how.
 PDF_ADVICE = {
-    "OpenAction": "Open action", "AA": "Additional actions", "AcroForm": "Form fields", "StructTreeRoot": "Structure tree", "PieceInfo": "Producer data", "PageLabels": "Page labels", "Outlines": "Bookmarks", "Lang": "Language",
-}
+    "OpenAction": "OpenAction (may run script on open)",
+    "AA": "Additional actions",
+    "AcroForm": "Form fields / signatures",
+    "StructTreeRoot": "Accessibility structure tree",
+    "PieceInfo": "Producer-specific piece info",
+    "Outlines": "Outline / bookmarks",
+    "PageLabels": "Page labels",
+    "Perms": "Usage permissions",
+}
 PDF_NAMES = ["EmbeddedFiles", "JavaScript", "AP", "AlternatePresentations", "Renditions"]
 PDF_PAGE = ["Metadata", "Annots", "PieceInfo", "UserUnit", "ID", "AA", "B"]
 PDF_XOBJECT = ["Metadata", "PieceInfo", "OPI", "LastModified"]
