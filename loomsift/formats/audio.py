@@ -13,13 +13,15 @@ from .raster import build_riff, read_gif, read_image, riff_chunks
 Items = list[tuple[str, str]]
 
 
-def _picture(n: int, kind: int, data: bytes) -> Items:
-    out = [(f"Picture #{n}", f"{PICTURE_KINDS.get(kind, 'Other')}, {len(data)} bytes")]
+def _picture(tag: str, n: int, kind: int, data: bytes) -> Items:
+    label = f"[{tag}] Picture #{n}"
+    named = PICTURE_KINDS[kind] if kind < len(PICTURE_KINDS) else f"Undefined({kind})"
+    out = [(label, f"{named}, {len(data)} bytes")]
     try:
         inner = read_gif(data) if data[:3] == b"GIF" else read_image(data)
     except Exception:
         inner = []
-    return out + [(f"Picture #{n} \N{RIGHTWARDS ARROW} {k}", v) for k, v in inner]
+    return out + [(f"{label} \N{RIGHTWARDS ARROW} {k}", v) for k, v in inner]
 
 
 # ---- ID3 ----
@@ -56,7 +58,7 @@ def id3_items(body: bytes) -> Items:
             stop = b"\0\0" if code in (1, 2) else b"\0"
             cut = rest.find(stop)
             n += 1
-            out += _picture(n, data[mime_end + 1] if 0 < mime_end < len(data) - 1 else 0, rest[cut + len(stop) :])
+            out += _picture("Id3v2", n, data[mime_end + 1] if 0 < mime_end < len(data) - 1 else 0, rest[cut + len(stop) :])
         elif key == "TXXX":
             desc, _, value = _id3_text(data).partition("; ")
             out.append((f"[Id3v2] {desc}", value))
@@ -107,7 +109,7 @@ def comment_items(data: bytes, tag: str) -> Items:
             at += 4 + n
             if key.upper() == "METADATA_BLOCK_PICTURE":
                 pictures += 1
-                out += _flac_picture(pictures, base64.b64decode(value))
+                out += _flac_picture(tag, pictures, base64.b64decode(value))
             elif key.upper() != "ENCODER":
                 out.append((f"[{tag}] {AUDIO_NAMES.get(key.upper(), key)}", value))
         return out
@@ -115,13 +117,13 @@ def comment_items(data: bytes, tag: str) -> Items:
         return []
 
 
-def _flac_picture(n: int, data: bytes) -> Items:
+def _flac_picture(tag: str, n: int, data: bytes) -> Items:
     try:
         kind, a = struct.unpack_from(">II", data, 0)
         b = struct.unpack_from(">I", data, 8 + a)[0]
         at = 12 + a + b + 16
         size = struct.unpack_from(">I", data, at)[0]
-        return _picture(n, kind, data[at + 4 : at + 4 + size])
+        return _picture(tag, n, kind, data[at + 4 : at + 4 + size])
     except struct.error:
         return []
 
@@ -298,8 +300,10 @@ def boxes(body: bytes, at: int, end: int):
 
 def mp4_items(body: bytes, prefix: str = "[Mp4Ilst] ") -> Items:
     out: Items = []
+    pictures = 0
 
     def walk(at: int, end: int, path: tuple) -> None:
+        nonlocal pictures
         for kind, _, start, stop in boxes(body, at, end):
             if kind in (b"moov", b"udta", b"trak"):
                 walk(start, stop, (*path, kind))
@@ -312,7 +316,8 @@ def mp4_items(body: bytes, prefix: str = "[Mp4Ilst] ") -> Items:
                         if sub == b"data":
                             flag, data = int.from_bytes(body[a : a + 4], "big"), body[a + 8 : b]
                             if key == b"covr":
-                                out.extend(_picture(1 + sum(k.startswith("Picture") and "\N{RIGHTWARDS ARROW}" not in k for k, _ in out), 3, data))
+                                pictures += 1
+                                out.extend(_picture(prefix.strip("[] "), pictures, 3, data))
                             else:
                                 out.append((prefix + AUDIO_NAMES.get(name, name), data.decode("utf-8", "replace") if flag == 1 else "(binary data)"))
             elif path[-1:] == (b"udta",) and kind[:1] == b"\xa9" and stop - start > 4:
@@ -366,7 +371,7 @@ def read_audio(body: bytes, mime: str = "", **_: object) -> Items:
                 out += comment_items(data, "VorbisComments")
             elif k == 6:
                 pictures += 1
-                out += _flac_picture(pictures, data)
+                out += _flac_picture("VorbisComments", pictures, data)
         return out
     if kind == "ogg":
         found = _ogg_comment(body)

@@ -254,8 +254,11 @@ AUDIO_NAMES = {
     "\xa9nam": "Title", "\xa9ART": "Artist", "\xa9alb": "Album", "aART": "Album Artist", "\xa9day": "Recording Date", "\xa9gen": "Genre", "\xa9cmt": "Comment", "\xa9wrt": "Composer", "\xa9too": "Encoder",
     "cprt": "Copyright", "\xa9lyr": "Lyrics", "trkn": "Track Number", "disk": "Disc Number", "tmpo": "BPM", "NAME": "Title", "AUTH": "Artist", "(c) ": "Copyright", "ANNO": "Comment",
 }
-#: Kinds of embedded pictures; any other is shown as Other.
-PICTURE_KINDS = {3: "CoverFront", 4: "CoverBack"}
+#: Kinds of embedded pictures, by number.
+PICTURE_KINDS = [
+    "Other", "Icon", "OtherIcon", "CoverFront", "CoverBack", "Leaflet", "Media", "LeadArtist", "Artist", "Conductor", "Band", "Composer", "Lyricist", "RecordingLocation", "DuringRecording", "DuringPerformance",
+    "ScreenCapture", "BrightFish", "Illustration", "BandLogo", "PublisherLogo",
+]
 
 #: Keys that tell of a file's structure rather than of its origin.
 STRUCTURAL_KEYS = [

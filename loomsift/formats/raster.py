@@ -126,24 +126,28 @@ def jpeg_segments(body: bytes):
 
 
 _XMP = b"http://ns.adobe.com/xap/1.0/\0"
+_PHOTOSHOP = b"Photoshop 3.0\0"
+_UNREAD = ("EXIF data", "present (could not parse individual tags)")
 
 
 def _jpeg_items(body: bytes) -> Items:
-    exif, xmp, iptc, icc = [], [], [], []
+    """EXIF tags first, then what the other segments hold, in file order."""
+    exif, rest, icc = [], [], False
     try:
         for kind, start, end in jpeg_segments(body):
             data = body[start + 4 : end]
             if kind == 0xE1 and data.startswith(b"Exif\0\0"):
-                exif += exif_items(data[6:]) or [("EXIF data", "present (could not parse individual tags)")]
+                exif += exif_items(data[6:])
             elif kind == 0xE1 and data.startswith(_XMP):
-                xmp += xmp_items(data[len(_XMP) :])
-            elif kind == 0xED:
-                iptc += iptc_items(data)
+                rest += xmp_items(data[len(_XMP) :]) or [("XMP data", "present")]
+            elif kind == 0xED and data.startswith(_PHOTOSHOP):
+                rest += iptc_items(data[len(_PHOTOSHOP) :]) or [("IPTC/Photoshop data", "present")]
             elif kind == 0xE2 and data.startswith(b"ICC_PROFILE\0") and not icc:
-                icc.append(("ICC Profile", "present"))
+                rest.append(("ICC Profile", "present"))
+                icc = True
     except FormatError:
         pass  # what was found before the damage counts
-    return exif + xmp + iptc + icc
+    return exif + rest
 
 
 def _clean_jpeg(body: bytes) -> bytes:
@@ -186,13 +190,16 @@ def _png_text(kind: bytes, data: bytes) -> tuple[str, str] | None:
 
 def _png_items(body: bytes, extended: bool) -> Items:
     out: Items = []
-    tail: Items = []
+    icc: Items = []
+    unread: Items = []
     try:
         for kind, data, _ in png_chunks(body):
             if kind == b"eXIf":
-                out += exif_items(data) or [("EXIF data", "present (could not parse individual tags)")]
+                found = exif_items(data)
+                out += found
+                unread = [] if found else [_UNREAD]
             elif kind == b"iCCP":
-                tail.append(("ICC Profile", "present"))
+                icc.append(("ICC Profile", "present"))
             elif extended and kind in (b"tEXt", b"zTXt", b"iTXt") and (t := _png_text(kind, data)):
                 out.append(t)
             elif extended and kind == b"tIME" and len(data) == 7:
@@ -200,7 +207,7 @@ def _png_items(body: bytes, extended: bool) -> Items:
                 out.append(("Modified", f"{y:04}-{mo:02}-{d:02} {h:02}:{mi:02}:{s:02}"))
     except FormatError:
         pass
-    return out + tail
+    return out + icc + unread
 
 
 def _clean_png(body: bytes) -> bytes:
@@ -228,18 +235,19 @@ def build_riff(head: bytes, form: bytes, chunks: list[bytes]) -> bytes:
 
 
 def _webp_items(body: bytes) -> Items:
-    exif, icc, xmp = [], [], []
+    exif, icc, unread, xmp = [], [], [], []
     try:
         for kind, data, _ in riff_chunks(body, b"WEBP"):
             if kind == b"EXIF":
-                exif += exif_items(data.removeprefix(b"Exif\0\0")) or [("EXIF data", "present (could not parse individual tags)")]
+                exif += exif_items(data.removeprefix(b"Exif\0\0"))
+                unread = [] if exif else [_UNREAD]
             elif kind == b"ICCP":
                 icc.append(("ICC Profile", "present"))
             elif kind == b"XMP ":
                 xmp += xmp_items(data) or [("XMP data", "present")]
     except FormatError:
         pass
-    return exif + icc + xmp
+    return exif + icc + unread + xmp
 
 
 def _clean_webp(body: bytes) -> bytes:
@@ -284,7 +292,7 @@ def _box_items(body: bytes) -> Items:
     for a, b in _exif_spans(body):
         out += exif_items(body[a:b])
     if not out and b"Exif" in body:
-        out.append(("EXIF data", "present (could not parse individual tags)"))
+        out.append(_UNREAD)
     x = body.find(b"<x:xmpmeta")
     if x >= 0:
         out += xmp_items(body[x : body.find(b"</x:xmpmeta>", x) + 12])

@@ -71,7 +71,7 @@ def test_odt_and_epub():
 
 
 def test_pdf():
-    assert pdf.read_pdf(sample_pdf()) == [("Author", "Al"), ("Title", "A"), ("Language", "present"), ("Annotations", "1 of 1 pages")]
+    assert pdf.read_pdf(sample_pdf()) == [("Author", "Al"), ("Title", "A"), ("Annotations", "1 of 1 pages")]
     assert pdf.read_pdf(pdf.clean_pdf(sample_pdf())) == []
 
 
@@ -129,3 +129,21 @@ def test_bencode_never_crashes(b):
         torrent.decode(b)
     except FormatError:
         pass
+
+
+def test_packets_that_hold_nothing_readable_are_named():
+    from loomsift.formats.raster import read_image
+
+    def segment(kind, data):
+        return b"\xff" + bytes([kind]) + (len(data) + 2).to_bytes(2, "big") + data
+
+    body = b"\xff\xd8" + segment(0xED, b"Photoshop 3.0\0") + segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0<x/>") + segment(0xE2, b"ICC_PROFILE\0x") + segment(0xE2, b"ICC_PROFILE\0y") + b"\xff\xd9"
+    assert read_image(body) == [("IPTC/Photoshop data", "present"), ("XMP data", "present"), ("ICC Profile", "present")]
+
+
+def test_pictures_carry_the_tag_they_are_in():
+    from loomsift.formats.audio import read_audio
+
+    picture = (3).to_bytes(4, "big") + (0).to_bytes(4, "big") * 2 + b"\0" * 16 + (5).to_bytes(4, "big") + b"bytes"
+    body = b"fLaC" + b"\x00" + (34).to_bytes(3, "big") + b"\0" * 34 + b"\x86" + len(picture).to_bytes(3, "big") + picture
+    assert read_audio(body, name="a.flac") == [("[VorbisComments] Picture #1", "CoverFront, 5 bytes")]
