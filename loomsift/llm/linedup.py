@@ -1,6 +1,7 @@
 """Line deduplication across documents by pairwise alignment.
 
-Lines of ``MIN_LINE_WORDS`` words or more are hashed; shorter lines belong to the long line before them. A line that
+"Rare" is said of the links, not of the lines: a line is linked to its first holder alone, so that each later holder
+has one link for it however frequent it is. Lines of ``MIN_LINE_WORDS`` words or more are hashed; shorter lines belong to the long line before them. A line that
 several documents hold links each later document to the first one that holds it, so a line of n holders costs n - 1
 links whatever n is, and the frequent lines need no cap. The linked lines of a pair of documents are aligned like
 patience diff does: lines that are unique in both are matched along their longest increasing subsequence, then the gaps
