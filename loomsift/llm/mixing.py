@@ -22,6 +22,7 @@ from .session import materialize
 WEIGHTS, CAP = (1, 2, 3), 3
 BLOCK, LANDING = 2048, 12
 EPS = 1e-9
+FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -141,7 +142,9 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     g = goal.select(F.col("source").alias("s"), "source_size", "target", "n_rows")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     full = F.least(F.floor(f + EPS), F.lit(CAP))
-    rows = base.join(F.broadcast(g) if per.count() <= 100_000 else g, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # tables of one row a source are broadcast if there are at most FEW_SOURCES
+    hint = F.broadcast if per.count() <= FEW_SOURCES else (lambda t: t)
+    rows = base.join(hint(g), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumns({"whole": full.cast("long"), "p": F.greatest(F.lit(0.0), F.least(F.lit(1.0), f - full))})
     rows = rows.withColumn("want", F.col("p") * F.col("source_size"))
     todo = rows.where(f"size > 0 and p > {EPS} and p < 1 - {EPS}").select("source", "doc_id", "size", "mix", "p", "want", "n_rows")
@@ -165,7 +168,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
         spent = some.groupBy(F.col("source").alias("s")).agg(
             F.first("want").alias("w"), F.sum(F.when(F.col("p") >= 1 - EPS, F.col("size")).otherwise(0)).alias("spent"), F.count_if(F.expr(f"p > {EPS} and p < 1 - {EPS}")).alias("n_rows")
         )
-        todo = left.join(F.broadcast(spent), F.col("source").eqNullSafe(F.col("s"))).withColumn("want", F.col("w") - F.col("spent"))
+        todo = left.join(hint(spent), F.col("source").eqNullSafe(F.col("s"))).withColumn("want", F.col("w") - F.col("spent"))
         todo = materialize(todo.select("source", "doc_id", "size", "mix", "p", "want", "n_rows"), "todo")
     extra = settled.select("doc_id", "size", F.col("p").cast("long").alias("extra"), F.col("source").alias("s")).groupBy("doc_id", "size", "s").agg(F.max("extra").alias("extra"))
     on = [rows["doc_id"] == extra["doc_id"], rows["size"] == extra["size"], rows["source"].eqNullSafe(extra["s"])]
