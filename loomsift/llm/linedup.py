@@ -1,12 +1,14 @@
 """Line deduplication across documents by pairwise alignment.
 
-"Rare" is said of the links, not of the lines: a line is linked to its first holder alone, so that each later holder
-has one link for it however frequent it is. Lines of ``MIN_LINE_WORDS`` words or more are hashed; shorter lines belong to the long line before them. A line that
-several documents hold links each later document to the first one that holds it, so a line of n holders costs n - 1
-links whatever n is, and the frequent lines need no cap. The linked lines of a pair of documents are aligned like
-patience diff does: lines that are unique in both are matched along their longest increasing subsequence, then the gaps
-between those anchors are filled with further increasing matches. Aligned neighbours form blocks; blocks of
-``MIN_BLOCK_WORDS`` words or more are deleted from the later document (the one of larger doc_id).
+Lines of ``MIN_LINE_WORDS`` words or more are hashed; shorter lines belong to the long line before them. The result is
+that of aligning each document with every earlier one that shares a line with it, without making all those pairs: a
+document is aligned with the first holder of each of its lines (and of each line with its short lines), over all places
+of all lines that the two share. Lines that stay unmatched, as they cross others there, go on to their next holders in
+rounds, 1, 2, 4, ... at a time, until none is left to try. So a line of n holders costs about n pairs as long as it is
+matched early, and the frequent lines need no cap. A pair is aligned like patience diff does: lines that are unique in
+both are matched along their longest increasing subsequence, then the gaps between those anchors are filled with further
+increasing matches. Matched neighbours form blocks; blocks of ``MIN_BLOCK_WORDS`` words or more are deleted from the
+later document (the one of larger doc_id).
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import discard, materialize, small_batches, width
@@ -89,7 +92,8 @@ def _rising(pairs: list[tuple[int, int]], strict: bool) -> list[tuple[int, int]]
 def align(matches: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     """Patience alignment of matches (b, a, unique in both) -> aligned (b, a), in order."""
     anchors = _rising(sorted((b, a) for b, a, u in matches if u), strict=True)
-    rest = sorted((b, a) for b, a, u in matches if not u)
+    # of the places of one line the last comes first, so that no b is taken twice
+    rest = sorted(((b, a) for b, a, u in matches if not u), key=lambda m: (m[0], -m[1]))
     if not rest:
         return anchors
     fences = [(-1, -1), *anchors, (1 << 60, 1 << 60)]
@@ -105,51 +109,106 @@ def align(matches: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def doomed(rows: list[dict]) -> list[tuple[int, bool]]:
-    """Units of one later document to delete, from its matches with first holders: (pos, also its short lines)."""
+def matched(rows: list[dict]) -> dict[int, tuple[bool, int, int]]:
+    """Units of a later document that are aligned with an earlier one: pos -> (also its short lines, words, words of these)."""
     by: dict[int, list[dict]] = {}
     for r in rows:
         by.setdefault(r["first"], []).append(r)
-    hit: dict[int, bool] = {}
-    words: dict[int, int] = {}
-    for first in sorted(by):
-        group = by[first]
+    hit: dict[int, tuple[bool, int, int]] = {}
+    for group in by.values():
         seen: dict[int, int] = {}
         for r in group:
             seen[r["a"]] = seen.get(r["a"], 0) + 1
         aligned = set(align([(r["b"], r["a"], r["once"] and seen[r["a"]] == 1) for r in group]))
         for r in group:
             if (r["b"], r["a"]) in aligned:
-                hit[r["b"]] = r["same"]
-                words[r["b"]] = r["words"] + (r["rest_words"] if r["same"] else 0)
+                hit[r["b"]] = (r["same"] or (r["b"] in hit and hit[r["b"]][0]), r["words"], r["rest_words"])
+    return hit
+
+
+def blocks(hit: dict[int, tuple[bool, int, int]]) -> list[tuple[int, bool]]:
+    """Matched units -> those to delete: (pos, also its short lines)."""
     out: list[tuple[int, bool]] = []
     block: list[int] = []
     for p in [*sorted(hit), None]:
         # a block goes on if the unit before is its neighbour and was matched with its short lines
-        if block and (p is None or p != block[-1] + 1 or not hit[block[-1]]):
-            if sum(words[x] for x in block) >= MIN_BLOCK_WORDS:
-                out += [(x, hit[x]) for x in block]
+        if block and (p is None or p != block[-1] + 1 or not hit[block[-1]][0]):
+            if sum(n + (more if same else 0) for same, n, more in (hit[x] for x in block)) >= MIN_BLOCK_WORDS:
+                out += [(x, hit[x][0]) for x in block]
             block = []
         if p is not None:
             block.append(p)
     return out
 
 
-def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by doc_id -> (doc_id, cut): positions to delete, doubled, odd if the short lines stay."""
+def doomed(rows: list[dict]) -> list[tuple[int, bool]]:
+    """Units of one later document to delete, from its matches with earlier ones: (pos, also its short lines)."""
+    return blocks(matched(rows))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+    """Rows sorted by ``keys``, those of equal keys together."""
     held: list[dict] = []
     for batch in batches:
-        ids, cuts = [], []
         for r in batch.to_pylist():
-            if held and held[-1]["doc_id"] != r["doc_id"]:
-                if cut := doomed(held):
-                    ids.append(held[-1]["doc_id"])
-                    cuts.append([2 * p + (not whole) for p, whole in cut])
+            if held and any(held[-1][k] != r[k] for k in keys):
+                yield held
                 held = []
             held.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], ["id", "cut"])
-    if held and (cut := doomed(held)):
-        yield pa.RecordBatch.from_arrays([pa.array([held[-1]["doc_id"]], pa.int64()), pa.array([[2 * p + (not whole) for p, whole in cut]], pa.list_(pa.int32()))], ["id", "cut"])
+    if held:
+        yield held
+
+
+def _pair(rows: list[dict]) -> list[dict]:
+    """Shared lines of one pair, with their places in both documents -> rows for :func:`matched`."""
+    out = []
+    for r in rows:
+        for m in r["mine"]:
+            for t in r["theirs"]:
+                out.append({"b": m["pos"], "first": r["first"], "a": t["pos"], "once": len(r["theirs"]) == 1, "same": m["rest"] == t["rest"], "words": m["words"], "rest_words": m["rest_words"]})
+    return out
+
+
+HITS = "doc_id long, pos int, same boolean, words int, rest_words int"
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared lines sorted by (doc_id, first) -> matched units, once for each document."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 5
+        types = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "pos", "same", "words", "rest_words"])
+
+    rows: list[tuple] = []
+    doc, hit = None, {}
+    for pair in _runs(batches, "doc_id", "first"):
+        d, found = pair[0]["doc_id"], matched(_pair(pair))
+        if d != doc:
+            rows += [(doc, p, *h) for p, h in hit.items()]
+            doc, hit = d, {}
+            if len(rows) > 4096:
+                yield flush(rows)
+                rows = []
+        for p, h in found.items():
+            hit[p] = (h[0] or (p in hit and hit[p][0]), *h[1:])
+    yield flush(rows + [(doc, p, *h) for p, h in hit.items()])
+
+
+def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matched units sorted by doc_id -> (id, cut): positions to delete, doubled, odd if the short lines stay."""
+    ids, cuts = [], []
+    for rows in _runs(batches, "doc_id"):
+        hit: dict[int, tuple[bool, int, int]] = {}
+        for r in rows:
+            hit[r["pos"]] = (r["same"] or (r["pos"] in hit and hit[r["pos"]][0]), r["words"], r["rest_words"])
+        if cut := blocks(hit):
+            ids.append(rows[0]["doc_id"])
+            cuts.append([2 * p + (not whole) for p, whole in cut])
+        if len(ids) >= 512:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], ["id", "cut"])
+            ids, cuts = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], ["id", "cut"])
 
 
 def apply_cut(text: str, cut: list[int]) -> str:
@@ -175,16 +234,54 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """(id, cut): for each document with something to delete, its units as :func:`apply_cut` takes them."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = materialize(rows.mapInArrow(_unit_rows, UNITS), "lines")
-    # the first holder: least doc_id, and in it the first place, with what follows the line there
-    holder = lines.groupBy("line", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "rest")).alias("at"))
-    first = holder.groupBy("line").agg(F.min(F.struct("doc_id", "n", "at")).alias("f"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    first = first.select("line", F.col("f.doc_id").alias("first"), (F.col("f.n") == 1).alias("once"), F.col("f.at.pos").alias("a"), F.col("f.at.rest").alias("first_rest"))
-    linked = lines.join(first, "line").where("doc_id > first")
-    linked = linked.select("doc_id", F.col("pos").alias("b"), "first", "a", "once", (F.col("rest") == F.col("first_rest")).alias("same"), "words", "rest_words")
-    linked = linked.repartition(width(spark), "doc_id").sortWithinPartitions("doc_id", "b")
-    cut = materialize(linked.mapInArrow(_plan, "id long, cut array<int>"), "cut")
-    discard(lines)
+    units_of = materialize(rows.mapInArrow(_unit_rows, UNITS), "lines")
+    # lines that an earlier document may hold, with their first holder and that of the line with its short lines
+    exact = units_of.groupBy("line", "rest").agg(F.min("doc_id").alias("like"), F.max("doc_id").alias("last"))
+    first = exact.groupBy("line").agg(F.min("like").alias("first"), F.max("last").alias("end")).where("first < end").select("line", "first")
+    shared = materialize(units_of.join(first, "line").join(exact.drop("last"), ["line", "rest"]), "shared")
+    discard(units_of)
+    places = shared.groupBy("doc_id", "line").agg(F.sort_array(F.collect_list(F.struct("pos", "rest", "words", "rest_words"))).alias("at"))
+
+    def align_pairs(pairs: DataFrame) -> DataFrame:
+        """Matched units of the later documents of (doc_id, first), over all lines that the two share."""
+        mine = places.withColumnsRenamed({"at": "mine"}).hint("merge")
+        theirs = places.select(F.col("doc_id").alias("first"), "line", F.transform("at", lambda x: F.struct(x.pos.alias("pos"), x.rest.alias("rest"))).alias("theirs")).hint("merge")
+        both = pairs.distinct().hint("merge").join(mine, "doc_id").join(theirs, ["first", "line"])
+        both = both.select("doc_id", "first", "mine", "theirs").repartition(width(spark), "doc_id").sortWithinPartitions("doc_id", "first")
+        return materialize(both.mapInArrow(_match, HITS), "hits")
+
+    pairs = shared.select("doc_id", F.explode(F.array_distinct(F.array("first", "like"))).alias("first")).where("first < doc_id")
+    rounds = [align_pairs(pairs)]
+    done, holders, low = [], None, 2
+    line, both = F.xxhash64("line"), F.xxhash64("line", "rest")
+    left = shared.select("doc_id", "pos", F.when(F.col("first") < F.col("doc_id"), line).alias("line"), F.when(F.col("like") < F.col("doc_id"), both).alias("both"), F.lit(None).cast("boolean").alias("had"))
+    while True:
+        # what isn't matched, or not with its short lines although an earlier document has both; both keys go on from the
+        # first round, as the holders of one have other ranks among those of the other
+        new = rounds[-1].select("doc_id", "pos", "same").hint("merge")
+        left = left.where("line is not null").join(new, ["doc_id", "pos"], "left").withColumn("had", F.greatest("had", "same")).drop("same")
+        left = left.where("had is null or not had and both is not null")
+        left = materialize(left, "left", n=F.count(F.lit(1)))
+        done.append(left)
+        if not left.measured["n"]:
+            break
+        keys = left.select("doc_id", F.explode(F.array(F.when(F.isnull("had"), F.col("line")), F.col("both"))).alias("key")).where("key is not null").distinct()
+        if holders is None:
+            # the keys of later rounds are among those of the first
+            held = shared.select("doc_id", F.explode(F.array(line, both)).alias("key")).join(keys.select("key").distinct(), "key", "left_semi").distinct()
+            holders = held.select("key", F.col("doc_id").alias("first"), F.row_number().over(Window.partitionBy("key").orderBy("doc_id")).alias("rank"))
+            holders = materialize(holders, "holders")
+            done.append(holders)
+        pairs = keys.join(holders.where(F.col("rank").between(low, 2 * low - 1)), "key").where("first < doc_id").select("doc_id", "first")
+        pairs = materialize(pairs, "pairs", n=F.count(F.lit(1)))
+        done.append(pairs)
+        if not pairs.measured["n"]:
+            break
+        rounds.append(align_pairs(pairs))
+        low *= 2
+    hits = reduce(DataFrame.unionByName, rounds)
+    cut = materialize(hits.repartition(width(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(_plan, "id long, cut array<int>"), "cut")
+    discard(shared, *rounds, *done)
     return cut
 
 
