@@ -46,6 +46,13 @@ def test_lines_that_cross_in_the_first_holder_meet_later_ones(spark):
     assert got == all_pairs(rows)
 
 
+def test_all_places_of_a_repeated_line_are_aligned(spark):
+    a, b, c = passage("a"), passage("b"), passage("c")
+    rows = [(1, f"{a}\n{b}\n{a}\n{c}"), (2, f"{a}\n{b}\n{a}\n{c}")]
+    got = deduped(spark, rows)
+    assert got[2] == "" and got == all_pairs(rows)
+
+
 def test_rounds_give_what_all_pairs_give(spark):
     r = random.Random(3)
     lines = [passage(f"w{k}x", 5 + k % 7) for k in range(9)]
