@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialize, small_batches, width
+from .session import materialize, bounded_batches, width
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUNS = "part int, run long, doc_id long, text_sha256 string, keep_id long, group_size long, edge boolean, edge_text string"
@@ -61,7 +61,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Further columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("text"))
     norm = norm.withColumns({"text_sha256": F.sha2("text", 256), "head": F.substring(F.col("text").cast("binary"), 1, 32)})
     placed = norm.repartitionByRange(width(spark), "head", "text_sha256", "doc_id").sortWithinPartitions("head", "text_sha256", "text", "doc_id")

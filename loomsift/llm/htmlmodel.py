@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .dom import Tree, parse
 from .htmlpages import pages
-from .session import small_batches
+from .session import bounded_batches
 
 _TAGS = "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th form fieldset figure figcaption blockquote pre address".split()
 _GOOD = re.compile(r"article|content|post|entry|story|main|text|(?<![a-z])body")
@@ -191,7 +191,7 @@ def extract_text(table: DataFrame, model: TreeModel | None = None) -> DataFrame:
     Null, empty and contentless pages give an empty text; a null url stays null; repeated rows give repeated results;
     further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(table.sparkSession, 256)
+    bounded_batches(table.sparkSession)
     model = model or trained()
     rows = table.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_run(model), "page_id long, url string, text string, n_chars long")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64
-from .session import small_batches
+from .session import bounded_batches
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
 #: Training rows taken of each language: those of least hash. A documented bound on the sample.
@@ -147,7 +147,7 @@ def fit(x_at: list[np.ndarray], x_n: list[np.ndarray], y: np.ndarray, languages:
 def train(docs: DataFrame, where: Column | None = None) -> LanguageModel:
     """Learn from (text, lang) rows of ``docs``; at most PER_LANGUAGE rows of each language reach the driver, as features."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     rows = docs.where("text is not null and lang is not null")
     rows = rows.where(where) if where is not None else rows
     rows = rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.octet_length("text")).alias("pick"))
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ``und`` with score 0 for null, empty and letterless texts, which are rejected like scores below the floor. Rows of
     equal texts get equal results; further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
@@ -202,5 +202,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             got = [model.predict(t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([g[0] in languages and g[1] >= floor for g in got], pa.bool_()))
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(accepted, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import mix64, shingle_sets, string_buffer
-from .session import discard, materialize, small_batches, width
+from .session import discard, materialize, bounded_batches, width
 
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     signed = materialize(signatures(docs, k), "signed")
     rep = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = materialize(signed.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left").select("doc_id", "n_shingles", "rep"), "classes")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64, string_buffer, word_hashes
-from .session import small_batches
+from .session import bounded_batches
 
 THRESHOLD = 0.3
 #: Labelled rows learned from at most, those of least hash: a documented bound on the sample.
@@ -120,7 +120,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Learn from labelled rows that are not held out; SAMPLE of them at most reach the driver, as features."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     marks = labels.where(~held_out()).where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     n = marks.count()
     marks = marks.withColumn("pick", F.xxhash64("doc_id"))
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     Null and empty texts score as a text without words. Equal texts score equally; further columns are ignored; an
     empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ from .session import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines of all documents: what each loses and what is left."""
+    """Repeated blocks of lines of all documents: how many lines each loses and what is left."""
     out = linedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_cut", "chars_before", "chars_after", F.sha2("text", 256).alias("text_sha256"), (F.col("n_cut") > 0).alias("changed"))
 
@@ -68,4 +68,4 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op2_warc_index": warc.SQL, "op4_chat_formatting": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_exact_dedup": exact.SQL}
+SQL: dict[str, str] = {"op1_line_dedup": linedup.SQL, "op2_warc_index": warc.SQL, "op4_chat_formatting": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_exact_dedup": exact.SQL}

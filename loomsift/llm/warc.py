@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialize, shared_dir, small_batches, width
+from .session import materialize, shared_dir, bounded_batches, width
 
 REVISIT_BYTES, BLOCK_LINES = 100, 500
 ARCHIVE_BYTES = 64 << 20
@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> tupl
     A null html is an empty payload, a null url leaves its header out. Rows that repeat a page_id are written one by one.
     """
     spark = pages.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     folder = f"{shared_dir(spark)}/loomsift/warc-{uuid.uuid4().hex}"
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)

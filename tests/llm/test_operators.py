@@ -81,25 +81,7 @@ def test_components(spark):
 
 
 # ---- 1 ----
-def test_alignment():
-    assert linedup.align([(0, 5, True), (1, 6, True), (2, 1, True), (3, 7, True)]) == [(0, 5), (1, 6), (3, 7)]
-    assert linedup.align([(0, 0, True), (1, 1, False), (2, 2, True)]) == [(0, 0), (1, 1), (2, 2)]
-
-
-def test_units_join_again():
-    for t in ("", "a\n\nb", "one two three four five\nx\n\nsix seven eight nine ten\n"):
-        assert "\n".join(x for _, lines in linedup.units(t) for x in lines) == t
-
-
-def test_line_dedup(spark, odd, none):
-    block = "this passage of many words stands in several documents\nshort\nand goes on with a second line of several words"
-    own = [f"own line number {i} with its very own words w{i}" for i in range(6)]
-    rows = [(1, f"{own[0]}\n{block}"), (2, f"{block}\n{own[1]}"), (3, block), (4, f"{own[2]}\n{block}\n{own[3]}"), (5, own[4]), (6, "The.\nshort"), (7, "The.\nshort")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.text for r in linedup.dedup_lines(docs).collect()}
-    assert got == {1: rows[0][1], 2: own[1], 3: "", 4: f"{own[2]}\n{own[3]}", 5: own[4], 6: "The.\nshort", 7: "The.\nshort"}
-    kept = linedup.drop_repeated_lines(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 6, 7]
+def test_line_dedup_odd(odd, none):
     assert linedup.dedup_lines(odd).count() == len(ODD) and linedup.drop_repeated_lines(none).count() == 0
 
 

@@ -5,36 +5,14 @@ import re
 
 import corpus_pipeline
 import pytest
+from test_linedup import brute as brute_lines
 from test_operators import WORDS, brute_components, brute_targets
 
-from loomsift.llm import langid, linedup
+from loomsift.llm import langid
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute_lines(rows):
-    """(doc_id, text) -> texts after line dedup, with dictionaries on one machine."""
-    units, first, count = collections.defaultdict(list), {}, collections.Counter()
-    for i, t in sorted(rows):
-        for pos, (_, lines) in enumerate(linedup.units(t)):
-            words = [len(WORDS.findall(x)) for x in lines]
-            if words[0] >= 5:
-                line, rest = lines[0].strip(), [x.strip() for x in lines[1:]]
-                units[i].append((pos, line, rest, words[0], sum(words[1:])))
-                first.setdefault(line, (i, pos, rest))
-                count[line, i] += 1
-    out = {}
-    for i, t in rows:
-        found = []
-        for pos, line, rest, n, more in units[i]:
-            f, a, there = first[line]
-            if f < i:
-                found.append({"b": pos, "first": f, "a": a, "once": count[line, f] == 1, "same": rest == there, "words": n, "rest_words": more})
-        cut = linedup.doomed(found)
-        out[i] = linedup.apply_cut(t, [2 * p + (not whole) for p, whole in cut]) if cut else t
-    return out
-
-
 def five(text):
     w = re.findall(r"[^\W_]+", text.lower())
     return set(zip(w, w[1:], w[2:], w[3:], w[4:]))
