@@ -1,26 +1,31 @@
 """Mixing sources to target weights by balanced sampling with the cube method.
 
 A source whose target is f times its size takes each of its documents floor(f) times and once more with inclusion
-probability f - floor(f). The extra copies are chosen by the cube method: the flight phase moves the vector of
-inclusion probabilities inside the null space of the balancing constraints (token total and document total) until all
-but a few are 0 or 1. It runs in blocks of ``BLOCK`` documents of a source, the undecided of all blocks meet in the
-next level, and so on until one block is left of each source; its last ``LANDING`` documents are the landing problem,
-solved by trying all subsets for the nearest token and document totals.
+probability f - floor(f). The extra copies are chosen by the cube method. In the flight phase the vector of inclusion
+probabilities moves at random inside the null space of the balancing constraints (token total and document total): each
+step finds a direction for three undecided documents that changes neither total, and goes to one face of the cube or the
+other with the probabilities that leave every inclusion probability as it was on average. Blocks of about ``BLOCK``
+documents of a source fly by themselves, the two or fewer that each leaves undecided meet in the next level, and so on
+until one block is left of each source. There the long documents are settled first, each along the direction that moves
+it most while all others make up for it, so the landing problem is that of two short ones: of the samples with their
+inclusion probabilities it draws from those that keep nearest to the totals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import materialize
+from .session import discard, materialize
 
 WEIGHTS, CAP = (1, 2, 3), 3
-BLOCK, LANDING = 2048, 12
+BLOCK = 2048
 EPS = 1e-9
 FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,131 +57,161 @@ def targets(per_source: DataFrame) -> DataFrame:
     return w.select("source", "source_size", "weight", F.when(capped, F.col("cap")).otherwise(F.col("weight") * F.col("free.rate")).alias("target"))
 
 
-def flight(p: np.ndarray, x: np.ndarray, keep: int = 2) -> np.ndarray:
-    """Cube flight: p (n) moves in the null space of the balancing rows x (n, q) until at most ``keep`` stay fractional.
-
-    Each step takes q + 1 undecided units, finds the direction that keeps their balance and goes as far along it as the
-    cube allows, towards the side that settles a unit sooner.
-    """
-    p = p.copy()
-    q = x.shape[1]
-    open_ = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
-    hand, nxt = open_[: q + 1], q + 1
-    while len(hand) == q + 1 and len(hand) + len(open_) - nxt > keep:
-        a = x[hand].T
-        if q == 2:  # the null vector of a 2 x 3 matrix
-            u = np.array([a[0, 1] * a[1, 2] - a[0, 2] * a[1, 1], a[0, 2] * a[1, 0] - a[0, 0] * a[1, 2], a[0, 0] * a[1, 1] - a[0, 1] * a[1, 0]])
-            if not np.abs(u).max() > EPS:  # rank 1 (equal sizes): move one unit against another
-                u = np.array([a[0, 1], -a[0, 0], 0.0]) if a[0, 0] or a[0, 1] else np.array([1.0, -1.0, 0.0])
-        else:
-            u = np.linalg.svd(a)[2][-1]
-        u = u / np.abs(u).max()
-        v = p[hand]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > EPS, (1 - v) / u, np.where(u < -EPS, -v / u, np.inf)).min()
-            down = np.where(u > EPS, v / u, np.where(u < -EPS, (v - 1) / u, np.inf)).min()
-        v = v + up * u if up <= down else v - down * u
-        p[hand] = np.clip(v, 0, 1)
-        done = [h for h in hand if not EPS < p[h] < 1 - EPS]
-        if not done:  # rounding: settle the nearest
-            h = min(hand, key=lambda i: min(p[i], 1 - p[i]))
-            p[h] = round(p[h])
-            done = [h]
-        for h in done:
-            p[h] = round(p[h])
-            hand.remove(h)
-            if nxt < len(open_):
-                hand.append(open_[nxt])
-                nxt += 1
+def direction(sizes: Sequence[float]) -> list[float]:
+    """Of three documents, the move that changes neither their number nor their tokens."""
+    a, b, c = sizes
+    u = [b - c, c - a, a - b]
+    top = max(map(abs, u))
+    return [x / top for x in u] if top else [1.0, -1.0, 0.0]
+
+
+def flight(p: Sequence[float], size: Sequence[float], draw: random.Random) -> list[float]:
+    """Flight phase: 0 and 1 for all but two documents at most, whose p stays within; both totals stay as they were."""
+    p = list(p)
+    waiting = iter([i for i, x in enumerate(p) if EPS < x < 1 - EPS])
+    hand = list(islice(waiting, 3))
+    while len(hand) == 3:
+        u = direction([size[i] for i in hand])
+        up = min((1 - p[i]) / x if x > 0 else -p[i] / x for i, x in zip(hand, u) if x)
+        down = min(p[i] / x if x > 0 else (p[i] - 1) / x for i, x in zip(hand, u) if x)
+        # the mean move is nil: up with probability down / (up + down)
+        step = up if draw.random() * (up + down) < down else -down
+        for i, x in zip(hand, u):
+            p[i] += step * x
+        done = [i for i in hand if not EPS < p[i] < 1 - EPS]
+        for i in done:
+            p[i] = float(p[i] > 0.5)
+            hand.remove(i)
+            more = next(waiting, None)
+            if more is not None:
+                hand.append(more)
     return p
 
 
-def land(p: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
-    """Of the fractional units (LANDING at most) the subset whose tokens come nearest to ``want``, then whose number does."""
-    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    p = np.where(p > 0.5, 1.0, 0.0) * ~np.isin(np.arange(len(p)), open_)
-    if not len(open_):
-        return p
-    rest = want - float((p * size).sum())
-    bits = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-    off = np.abs(bits @ size[open_] - rest)
-    best = np.lexsort((np.arange(len(bits)), bits.sum(axis=1), off))[0]
-    p[open_] = bits[best]
-    return p
+def last_flight(p: Sequence[float], size: Sequence[float], draw: random.Random) -> list[float]:
+    """Flight over a whole block at a time that settles the long documents first; the two left are short ones."""
+    p, size = np.array(p, float), np.array(size, float)
+    order = np.argsort(-size, kind="stable")
+    while True:
+        left = order[(p[order] > EPS) & (p[order] < 1 - EPS)]
+        if len(left) <= 2:
+            return p.tolist()
+        # the part of each unit vector that both totals leave free
+        x = np.column_stack([np.ones(len(left)), (size[left] - size[left].mean()) / max(size[left].std(), 1.0)])
+        back = np.linalg.pinv(x)
+        free = 1 - (x * back.T).sum(axis=1)
+        a = int(np.argmax(free > 1e-6))
+        u = -x @ back[:, a]
+        u[a] += 1
+        u[np.abs(u) < 1e-12] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - p[left]) / u, np.where(u < 0, -p[left] / u, np.inf)).min()
+            down = np.where(u > 0, p[left] / u, np.where(u < 0, (p[left] - 1) / u, np.inf)).min()
+        p[left] = np.clip(p[left] + (up if draw.random() * (up + down) < down else -down) * u, 0, 1)
+        p = np.where(p <= EPS, 0.0, np.where(p >= 1 - EPS, 1.0, p))
+
+
+def land(p: Sequence[float], size: Sequence[float], draw: random.Random) -> list[float]:
+    """Landing phase: settles the last documents (two at most) with the inclusion probabilities that they have."""
+    p = list(p)
+    left = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
+    if len(left) == 1:
+        p[left[0]] = float(draw.random() < p[left[0]])
+    if len(left) == 2:
+        i, j = left
+        # of the joint laws with these marginals the cost is least where both are taken together as seldom as can be
+        both, either = max(0.0, p[i] + p[j] - 1), min(1.0, p[i] + p[j])
+        r = draw.random()
+        if r < both:
+            p[i], p[j] = 1.0, 1.0
+        elif r < p[i]:
+            p[i], p[j] = 1.0, 0.0
+        elif r < either:
+            p[i], p[j] = 0.0, 1.0
+        else:
+            p[i], p[j] = 0.0, 0.0
+    return [float(x > 0.5) for x in p]
 
 
-def _level(last: bool):
-    """One block: flight; on the last level landing too. ``base`` is what the source still lacks beyond this level."""
+STATE = "source string, doc_id long, size long, mix long, p double, source_size long, target double, whole long, n_rows long"
+COLUMNS = [x.split()[0] for x in STATE.split(", ")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # long documents are settled first: what is left to the landing is short
-        rows = rows.sort_values(["size", "mix", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        p, size = rows["p"].to_numpy(float), rows["size"].to_numpy(float)
-        scale = max(size.mean(), 1.0) if len(size) else 1.0
-        x = np.column_stack([size / scale, np.ones(len(size))])
-        if last:
-            want = float(rows["want"].iloc[0])
-            got = land(flight(p, x, keep=LANDING), size, want)
-        else:
-            got = flight(p, x)
-        return rows.assign(p=got)[["source", "doc_id", "size", "mix", "p", "want", "n_rows"]]
 
-    return run
+def _level(last: bool, seed: int):
+    """One block: flight in random order; on the last level that of the whole block, and landing."""
 
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["mix", "size", "doc_id"], kind="stable")
+        draw = random.Random(f"{seed} {key} {rows['n_rows'].iloc[0]}")
+        p, size = rows["p"].tolist(), rows["size"].tolist()
+        got = land(last_flight(p, size, draw), size, draw) if last else flight(p, size, draw)
+        return rows.assign(p=got)[COLUMNS]
 
-STATE = "source string, doc_id long, size long, mix long, p double, want double, n_rows long"
+    return run
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) of every document.
 
     Weights 1, 2, 3 repeat over the sources by code point, null last. Documents without words take nothing; sources
-    without words have target 0; sizes and targets count all rows, repeated ones too. Only (doc_id, source, size) is
-    shuffled, blocks are dealt by a hash of doc_id, and reruns agree. Further columns are ignored; an empty table gives
-    an empty result.
+    without words have target 0. Every row counts and is drawn by itself, so rows that repeat a doc_id may take
+    different numbers; null ids are drawn like others. Only ids, sources and sizes are shuffled, blocks are dealt by a
+    hash of doc_id, size and seed, and reruns agree whatever the partitions. Further columns are ignored; an empty table
+    gives an empty result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes().alias("size"))
     base = materialize(base.withColumn("mix", F.xxhash64("doc_id", "size", F.lit(seed))), "sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_rows"))
-    goal = materialize(targets(per.select("source", "source_size")).join(per.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
-    g = goal.select(F.col("source").alias("s"), "source_size", "target", "n_rows")
+    per = materialize(per, "sources", n=F.count(F.lit(1)))
+    goal = targets(per.select("source", "source_size")).join(per.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    goal = materialize(goal, "targets")
+    # tables of one row a source are broadcast if there are at most FEW_SOURCES
+    hint = F.broadcast if per.measured["n"] <= FEW_SOURCES else (lambda t: t)
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     full = F.least(F.floor(f + EPS), F.lit(CAP))
-    # tables of one row a source are broadcast if there are at most FEW_SOURCES
-    hint = F.broadcast if per.count() <= FEW_SOURCES else (lambda t: t)
+    g = goal.select(F.col("source").alias("s"), "source_size", "target", "n_rows")
     rows = base.join(hint(g), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumns({"whole": full.cast("long"), "p": F.greatest(F.lit(0.0), F.least(F.lit(1.0), f - full))})
-    rows = rows.withColumn("want", F.col("p") * F.col("source_size"))
-    todo = rows.where(f"size > 0 and p > {EPS} and p < 1 - {EPS}").select("source", "doc_id", "size", "mix", "p", "want", "n_rows")
-    settled = None
+    rows = rows.withColumns({"whole": full.cast("long"), "p": F.greatest(F.lit(0.0), F.least(F.lit(1.0), f - full))}).select(*COLUMNS)
+    open_ = F.expr(f"size > 0 and p > {EPS} and p < 1 - {EPS}")
+    parts, todo, level = [rows.where(~open_)], rows.where(open_), 0
     while True:
         # n_rows: an upper bound of the rows that a source still has
-        blocks = F.expr(f"cast(ceil(n_rows / {BLOCK}) as long)")
-        one = todo.where(f"n_rows <= {BLOCK}").withColumn("block", F.lit(0).cast("long"))
-        many = todo.where(f"n_rows > {BLOCK}").withColumn("block", F.pmod(F.xxhash64("mix", "n_rows"), blocks))
-        ended = one.groupBy("source").applyInPandas(_level(True), STATE)
-        some = materialize(many.groupBy("source", "block").applyInPandas(_level(False), STATE), "level", n=F.count(F.lit(1)))
-        new = materialize(ended, "landed")
-        if some.measured["n"]:
-            shut = some.where(f"p <= {EPS} or p >= 1 - {EPS}")
-            new = new.unionByName(shut)
-        settled = new if settled is None else settled.unionByName(new)
+        one = todo.where(f"n_rows <= {BLOCK}")
+        many = todo.where(f"n_rows > {BLOCK}").withColumn("block", F.expr(f"pmod(xxhash64(mix, n_rows), cast(ceil(n_rows / {BLOCK}) as long))"))
+        parts.append(materialize(one.groupBy("source").applyInPandas(_level(True, seed), STATE), "landed"))
+        some = materialize(many.groupBy("source", "block").applyInPandas(_level(False, seed), STATE), "level", n=F.count(F.lit(1)))
         if not some.measured["n"]:
             break
-        # decided documents come off what the source still wants; undecided ones form the next level
-        left = some.where(f"p > {EPS} and p < 1 - {EPS}").drop("want", "n_rows")
-        spent = some.groupBy(F.col("source").alias("s")).agg(
-            F.first("want").alias("w"), F.sum(F.when(F.col("p") >= 1 - EPS, F.col("size")).otherwise(0)).alias("spent"), F.count_if(F.expr(f"p > {EPS} and p < 1 - {EPS}")).alias("n_rows")
-        )
-        todo = left.join(hint(spent), F.col("source").eqNullSafe(F.col("s"))).withColumn("want", F.col("w") - F.col("spent"))
-        todo = materialize(todo.select("source", "doc_id", "size", "mix", "p", "want", "n_rows"), "todo")
-    extra = settled.select("doc_id", "size", F.col("p").cast("long").alias("extra"), F.col("source").alias("s")).groupBy("doc_id", "size", "s").agg(F.max("extra").alias("extra"))
-    on = [rows["doc_id"] == extra["doc_id"], rows["size"] == extra["size"], rows["source"].eqNullSafe(extra["s"])]
-    out = rows.join(extra, on, "left").select(rows["doc_id"], rows["size"], "source_size", "target", (rows["size"] * (F.col("whole") + F.coalesce("extra", F.round("p"), F.lit(0)))).cast("long").alias("taken"), "source")
-    return out
+        parts.append(some.where(~open_))
+        left = some.where(open_)
+        now = left.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("still"))
+        todo = left.join(hint(now), F.col("source").eqNullSafe(F.col("s"))).withColumn("n_rows", F.col("still")).select(*COLUMNS)
+        todo = materialize(todo, "todo")
+    discard(per)
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    taken = F.col("size") * (F.col("whole") + F.when(F.col("size") > 0, F.round("p")).otherwise(0))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
 def take_mixture(docs: DataFrame) -> DataFrame:
-    """The documents that the mixture takes, each once with ``copies`` (1 to 3) and ``taken`` words."""
-    m = mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"), "taken").dropDuplicates(["doc_id"])
-    return docs.drop("copies", "taken").join(m.hint("merge"), "doc_id").select(*[c for c in docs.columns if c not in ("copies", "taken")], "copies", "taken")
+    """The documents that the mixture takes, each once with ``copies`` (1 to 3) and ``taken`` words.
+
+    Of rows that repeat a doc_id (or have none) with equal source and number of words, as many are taken as were drawn.
+    Columns ``copies`` and ``taken`` are replaced.
+    """
+    keys = ["loomsift_id", "loomsift_size", "loomsift_source"]
+    copies = F.when(F.col("taken") > 0, F.expr("cast(taken / size as int)"))
+    drawn = mix(docs).select(F.col("doc_id").alias(keys[0]), F.col("size").alias(keys[1]), F.col("source").alias(keys[2]), copies.alias("c"))
+    drawn = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list("c"), asc=False).alias("loomsift_copies"), F.count(F.lit(1)).alias("rows"))
+    drawn = materialize(drawn, "drawn", most=F.max("rows"))
+    names = [c for c in docs.columns if c not in ("copies", "taken")]
+    own = docs.select(*names).withColumns({keys[0]: F.col("doc_id").cast("long"), keys[1]: sizes(), keys[2]: F.col("source").cast("string")})
+    got = drawn.where("size(loomsift_copies) > 0").drop("rows").withColumnsRenamed({k: f"{k}_m" for k in keys})
+    out = own.join(got.hint("merge"), [own[k].eqNullSafe(got[f"{k}_m"]) for k in keys])
+    out = out.withColumn("loomsift_k", F.lit(1))
+    if (drawn.measured["most"] or 0) > 1:  # only then are there rows to tell apart
+        out = out.withColumn("loomsift_k", F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0])))
+    out = out.withColumn("copies", F.get("loomsift_copies", F.col("loomsift_k") - 1)).where("copies > 0")
+    return out.select(*names, "copies", (F.col("copies") * F.col(keys[1])).alias("taken"))

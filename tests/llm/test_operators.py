@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 
 import duckdb
@@ -266,24 +267,66 @@ def test_mixing(spark, odd, none):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target int").repartition(4)
     got = mixing.mix(docs).collect()
     again = {x.doc_id: x.taken for x in mixing.mix(docs.repartition(7)).collect()}
+    other = {x.doc_id: x.taken for x in mixing.mix(docs, seed=12).collect()}
+    assert again == {x.doc_id: x.taken for x in got} != other
     sizes, taken, goal = collections.Counter(), collections.Counter(), {}
     for x in got:
         sizes[x.source] += x.size
         taken[x.source] += x.taken
         goal[x.source] = x.target
-        assert x.taken <= 3 * x.size and x.taken % x.size == 0 and again[x.doc_id] == x.taken
+        assert x.taken <= 3 * x.size and x.taken % x.size == 0
     want = brute_targets(sizes)
     assert len(got) == len(rows) and all(math.isclose(goal[s], want[s]) for s in sizes)
     assert all(abs(taken[s] - want[s]) <= max(60, 0.01 * want[s]) for s in sizes)
-    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0 and mixing.take_mixture(none).count() == 0
+
+
+def test_mixing_draws_rows_that_repeat_an_id_by_themselves(spark):
+    rows = [(i % 7 if i % 2 else None, "w " * 50, "a" if i % 3 else "b") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(docs).collect()
+    taken, goal = collections.Counter(), {}
+    for x in got:
+        taken[x.source] += x.taken
+        goal[x.source] = x.target
+    assert len(got) == len(rows) and all(abs(taken[s] - goal[s]) <= 100 for s in goal)
+    mixed = mixing.take_mixture(docs).collect()
+    by = collections.Counter()
+    for x in mixed:
+        by[x.source] += x.taken
+        assert x.taken == 50 * x.copies
+    assert by == taken and len(mixed) == sum(x.taken > 0 for x in got)
 
 
 def test_flight_keeps_balance():
-    r = np.random.default_rng(5)
-    size = r.integers(1, 500, 400).astype(float)
-    p = np.full(400, 0.37)
-    x = np.column_stack([size, np.ones(400)])
-    q = mixing.flight(p, x)
-    assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2 and np.allclose(q @ x, p @ x)
-    n = np.mean([mixing.flight(np.full(40, 0.5), x[i * 40 % 360 : i * 40 % 360 + 40]).round().mean() for i in range(9)])
-    assert 0.4 < n < 0.6
+    r = random.Random(5)
+    size = [r.randint(1, 500) for _ in range(400)]
+    p = [r.random() for _ in range(400)]
+    q = mixing.flight(p, size, r)
+    assert sum(1e-9 < x < 1 - 1e-9 for x in q) <= 2
+    assert math.isclose(sum(q), sum(p)) and math.isclose(sum(a * b for a, b in zip(q, size)), sum(a * b for a, b in zip(p, size)))
+    assert mixing.flight([0.5] * 9, [7] * 9, r).count(0.5) <= 2 and mixing.flight([], [], r) == []
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_inclusion_probabilities(last):
+    """Over seeds each document is taken as often as its probability says, short or long, and totals stay near."""
+    import pandas as pd
+
+    r = np.random.default_rng(6)
+    n, seeds = 90, 400
+    size = np.sort(r.integers(1, 900, n))
+    p = np.tile([0.25, 0.5, 0.8], n // 3)
+    rows = pd.DataFrame({"source": "a", "doc_id": range(n), "size": size, "mix": r.permutation(n), "p": p, "source_size": size.sum(), "target": 0.0, "whole": 0, "n_rows": n})
+    total, mean = np.zeros(n), p @ size
+    for seed in range(seeds):
+        got = mixing._level(last, seed)(("a",), rows.assign(mix=np.random.default_rng(seed).permutation(n))).sort_values("doc_id")["p"].to_numpy()
+        total += got
+        if last:
+            assert set(got) <= {0.0, 1.0} and abs(got @ size - mean) <= 2 * size[12]
+        else:
+            assert math.isclose(got @ size, mean) and math.isclose(got.sum(), p.sum())
+    often = total / seeds
+    assert (np.abs(often - p) < 4.5 * np.sqrt(p * (1 - p) / seeds)).all()
+    for third in np.split(np.arange(n), 3):
+        assert abs(often[third].mean() - p[third].mean()) < 0.03
