@@ -1,4 +1,4 @@
-"""Connected components over an edge table by alternating large and small stars."""
+"""Connected components over an edge table: hook each vertex to its least neighbour, jump to the roots, contract."""
 
 from __future__ import annotations
 
@@ -8,39 +8,40 @@ from pyspark.sql import functions as F
 from .session import discard, materialize
 
 
-def _state() -> dict:
-    return {
-        "n": F.count(F.lit(1)),
-        "x": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-        "d": F.sum((F.col("b") - F.col("a")).cast("decimal(38,0)")),
-    }
-
-
-def _star(arcs: DataFrame, small: bool) -> DataFrame:
-    """arcs (v, u): every arc from v. Joins each v's arcs to its least neighbour."""
-    least = arcs.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
-    out = arcs.join(least, "v")
-    if small:
-        near = out.where("u <> m").select(F.col("m").alias("a"), F.col("u").alias("b"))
-        own = least.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        return near.unionByName(own).distinct()
-    return out.where("u > v").select(F.col("m").alias("a"), F.col("u").alias("b")).where("a <> b").distinct()
+def _roots(parent: DataFrame) -> DataFrame:
+    """(v, p) with p < v -> (v, p) with p the end of v's chain; each job halves the chains' lengths."""
+    while True:
+        up = parent.select(F.col("v").alias("w"), F.col("p").alias("q")).hint("merge")
+        new = parent.join(up, F.col("p") == F.col("w"), "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+        new = materialize(new, "jump", n=F.count_if("moved"))
+        discard(parent)
+        parent = new
+        if not parent.measured["n"]:
+            return parent
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) undirected edges -> (v, component): each vertex with the least vertex it reaches.
+    """(a, b) undirected edges -> (v, component): each vertex with the least vertex it reaches, in the shared folder.
 
-    Nulls and loops are ignored. Tables of each round go to the shared folder; nothing is collected but one
-    checksum row a round. The number of rounds grows with the logarithm of the longest path.
+    Nulls and loops are ignored. Of the vertices that still have edges half at most stay roots in each round, so there
+    are at most log2 of their number. Both sides of each join are tables, so that adaptive execution can split a vertex
+    of many edges; nothing is collected but counts.
     """
-    cur = materialize(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", **_state())
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    cur = materialize(edges.where("a is not null and b is not null and a <> b").select(*pair).distinct(), "edges", n=F.count(F.lit(1)))
+    comp = cur.select(F.col("b").alias("v"), F.col("a").alias("component")).limit(0)
+    spent = []
     while cur.measured["n"]:
-        both = cur.select(F.col("b").alias("v"), F.col("a").alias("u")).unionByName(cur.select(F.col("a").alias("v"), F.col("b").alias("u")))
-        large = _star(both, small=False)
-        new = materialize(_star(large.select(F.col("b").alias("v"), F.col("a").alias("u")), small=True), "stars", **_state())
-        discard(cur)
-        cur, was = new, cur.measured
-        if cur.measured == was:
-            break
-    star = cur.select(F.col("b").alias("v"), F.col("a").alias("component"))
-    return star.unionByName(cur.select(F.col("a").alias("v"), F.col("a").alias("component")).distinct())
+        root = _roots(materialize(cur.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")), "parent"))
+        r = root.select("v", "p").hint("merge")
+        of_a, of_b = r.withColumnsRenamed({"v": "a", "p": "pa"}), r.withColumnsRenamed({"v": "b", "p": "pb"})
+        left = cur.join(of_b, "b").join(of_a, "a", "left").select(F.col("pb").alias("b"), F.coalesce("pa", "a").alias("a")).where("a <> b")
+        new = materialize(left.select(*pair).distinct(), "edges", n=F.count(F.lit(1)))
+        was = comp.join(r.withColumnsRenamed({"v": "component", "p": "c"}), "component", "left").select("v", F.coalesce("c", "component").alias("component"))
+        comp = materialize(was.unionByName(r.select("v", F.col("p").alias("component"))), "comp")
+        spent.append(comp)
+        discard(cur, root)
+        cur = new
+    out = materialize(comp.unionByName(comp.select(F.col("component").alias("v"), "component").distinct()), "comp")
+    discard(cur, *spent)
+    return out

@@ -7,9 +7,12 @@ the exact comparison of full sets. Exactly equal sets are collapsed first.
 
 Buckets are not expanded into all pairs. Each document is first compared with the least leader of its buckets, then
 with the leader of each bucket in which it is still apart; members that fall into a leader's component need no
-further pair. Buckets that then still hold different components are joined into clusters, and each cluster is
-compared exactly in blocks inside tasks (signature estimate, set sizes, full sets), which emit verified links only:
-no link between different components is lost and no group is expanded into pair rows.
+further pair. Buckets that then still hold different components are joined into clusters. A cluster of ``BLOCK``
+documents or fewer is compared exactly inside one task (signature estimate, set sizes, full sets); of a larger one each
+bucket is, in blocks. Tasks emit verified links only: no link between different components is lost and no group is
+expanded into pair rows.
+
+Joins that can meet a frequent key have tables on both sides, so that adaptive execution can split it.
 """
 
 from __future__ import annotations
@@ -139,20 +142,19 @@ def _verify(k: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact test of pairs (a, b). A leader's text is shipped once for each CHUNK of its partners."""
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    cut = pairs.join(n, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), 1 + n div {CHUNK})").alias("chunk"))
-    cut = materialize(cut, "pairs")
+    """Exact test of a table of pairs (a, b). A leader's text is shipped once for each CHUNK of its partners."""
+    many = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CHUNK}"), "many")
+    cut = materialize(pairs.join(many.hint("merge"), "a", "left").select("a", "b", F.expr(f"pmod(xxhash64(b), 1 + coalesce(n, 0) div {CHUNK})").alias("chunk")), "pairs")
     left = cut.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "chunk", F.lit(0).alias("other"), F.col("a").alias("b"), "text")
-    right = cut.join(texts, F.col("b") == F.col("doc_id")).select("a", "chunk", F.lit(1).alias("other"), "b", "text")
+    right = cut.join(texts.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "chunk", F.lit(1).alias("other"), "b", "text")
     both = left.unionByName(right).repartition(width(texts.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "other", "b")
     out = materialize(both.mapInArrow(_verify(k, percent), "a long, b long"), "links")
-    discard(cut)
+    discard(cut, many)
     return out
 
 
 def _compare(k: int, percent: int):
-    """All pairs of two blocks of a cluster; rows come sorted by (cluster, i, j)."""
+    """All pairs of two blocks of a cluster; rows come sorted by (group, i, j)."""
     floor = (_floor(percent / 100) * (1 - 2.0**-BITS) + 2.0**-BITS) * HASHES
 
     def pairs(rows: list) -> tuple[list, list]:
@@ -190,7 +192,7 @@ def _compare(k: int, percent: int):
         held: list = []
         group = None
         for batch in batches:
-            head = list(zip(*(batch.column(i).to_pylist() for i in range(7))))
+            head = [(tuple(g.values()), *h) for g, *h in zip(*(batch.column(i).to_pylist() for i in range(7)))]
             for h, s in zip(head, shingle_sets(*string_buffer(batch.column(7)), k)):
                 if h[:3] != group:
                     if len(held) > 1:
@@ -208,16 +210,27 @@ def _pair_batch(a: list, b: list) -> pa.RecordBatch:
 
 
 def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between members of open buckets (key, id, lead, c), compared within clusters in blocks."""
-    cluster = connected_components(now.select(F.col("lead").alias("a"), F.col("id").alias("b"))).withColumnRenamed("v", "id").withColumnRenamed("component", "cluster")
-    docs = materialize(now.select("id", "c").distinct().join(cluster, "id"), "cluster")
-    size = docs.groupBy("cluster").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("nb"))
-    laid = docs.join(size, "cluster").withColumn("block", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
-    laid = laid.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
-    rows = laid.join(sigs, "id").join(texts.withColumnRenamed("doc_id", "id"), "id").select("cluster", "i", "j", "id", "c", "block", "sig", "text")
+    """Links between members of open buckets (key, id, lead, c).
+
+    A cluster of buckets that holds BLOCK documents or fewer is compared as one group, the buckets of a larger one by
+    themselves, in blocks.
+    """
     spark = texts.sparkSession
-    rows = rows.repartition(width(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    return materialize(rows.mapInArrow(_compare(k, percent), "a long, b long"), "rest")
+    comp = connected_components(now.select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    cluster = comp.select(F.col("v").alias("id"), F.col("component").alias("cluster"))
+    held = materialize(now.join(cluster.hint("merge"), "id").select("key", "id", "c", "cluster"), "clustered")
+    size = materialize(held.select("cluster", "id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster_sizes")
+    held = held.join(size.hint("merge"), "cluster").withColumn("key", F.when(F.col("m") <= BLOCK, F.col("cluster")).otherwise(F.col("key")))
+    held = materialize(held.withColumn("small", F.col("m") <= BLOCK).select("small", "key", "id", "c").distinct(), "groups")
+    blocks = materialize(held.groupBy("small", "key").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("nb")), "blocks")
+    laid = held.join(blocks.hint("merge"), ["small", "key"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
+    laid = laid.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    group = F.struct("small", "key").alias("group")
+    rows = laid.join(sigs.hint("merge"), "id").join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id").select(group, "i", "j", "id", "c", "block", "sig", "text")
+    rows = rows.repartition(width(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
+    out = materialize(rows.mapInArrow(_compare(k, percent), "a long, b long"), "rest")
+    discard(comp, size, blocks)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -226,62 +239,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs: doc_id, text and any further columns (ignored). Documents are linked if 100 * |A and B| >= percent *
     |A or B| of their distinct k-word shingles (words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than
     k words the whole sequence is one shingle). Null, empty and wordless texts have an empty set, are linked with
-    nothing and stay. ``component_id`` is the least doc_id reachable over links; that row is ``kept``. Repeated rows of one doc_id share their result; an empty
-    table gives an empty result.
+    nothing and stay. ``component_id`` is the least doc_id reachable over links; that row is ``kept``. Repeated rows of
+    one doc_id share their result (if their texts differ, one of them speaks for the doc_id); rows of null doc_id are
+    linked with nothing, have a null component and stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     signed = materialize(signatures(docs, k), "signed")
-    rep = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(signed.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left").select("doc_id", "n_shingles", "rep"), "classes")
-    heads = signed.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
-    members = materialize(banded.join(shared, "key").select("key", "id", "n", "lead"), "members")
-    involved = members.select(F.col("id").alias("doc_id")).distinct()
+    named = F.expr("set_key is not null and doc_id is not null")
+    rep = materialize(signed.where(named).groupBy("set_key").agg(F.min("doc_id").alias("rep")), "rep")
+    of_set = signed.where(named).select("doc_id", "n_shingles", "set_key").join(rep.hint("merge"), "set_key").select("doc_id", "n_shingles", "rep")
+    classes = materialize(of_set.unionByName(signed.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "classes")
+    heads = signed.where(named).join(classes.where("doc_id = rep").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    banded = materialize(heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "banded")
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"), "buckets")
+    members = materialize(banded.join(shared.hint("merge"), "key").select("key", "id", "n", "lead"), "members")
+    discard(rep, banded, shared)
+    involved = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "involved")
     # any row of a repeated doc_id; equal rows have equal texts. Always a merge join: the plan is the same at every size
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sigs = materialize(signed.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]), "sigs")
+    sigs = materialize(signed.join(involved.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]), "sigs")
+    discard(signed)
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        return p.where(_estimate() >= _floor(percent / 100)).select("a", "b")
-
-    def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    # one pair a document: with the least leader of its buckets
-    tested = plausible(members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("lead")).select(*ordered("lead", "id")))
-    tested = materialize(tested, "tested")
+        p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
+        return materialize(p.where(_estimate() >= _floor(percent / 100)).select("a", "b"), "plausible")
+
+    def led(comp: DataFrame) -> DataFrame:
+        """Members (key, id, n, lead) that are in another component than their bucket's leader."""
+        own = comp.select(F.col("v").alias("id"), F.col("component").alias("c")).hint("merge")
+        leader = comp.select(F.col("v").alias("lead"), F.col("component").alias("lc")).hint("merge")
+        both = members.where("id <> lead").join(own, "id", "left").join(leader, "lead", "left")
+        return materialize(both.where("coalesce(c, id) <> coalesce(lc, lead)").select("key", "id", "n", "lead"), "apart", m=F.count(F.lit(1)))
+
+    # one pair a document: with the least leader of its buckets, which is the lesser of the two
+    tested = plausible(members.where("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")))
     links = _links(tested, texts, k, percent)
-    comp = materialize(connected_components(links), "comp")
-
-    def open_buckets(of: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component, each with its component c."""
-        now = of.join(comp.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("c"))
-        split = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        return materialize(now.join(split, "key"), "open", n=F.count(F.lit(1)))
-
-    now = open_buckets(members)
-    if now.measured["n"]:  # the leader of each bucket with those still apart from it
-        led = now.where("id = lead").select("key", F.col("c").alias("lc"))
-        pairs = now.join(led, "key").where("c <> lc").select(*ordered("id", "lead")).distinct()
-        links = links.unionByName(_links(plausible(pairs.join(tested, ["a", "b"], "left_anti")), texts, k, percent))
-        comp = materialize(connected_components(links), "comp")
-        discard(now)
-        now = open_buckets(members.where("n > 2"))
-        if now.measured["n"]:
-            rest = _exact_rest(now, texts, sigs, k, percent)
+    comp = connected_components(links)
+    apart = led(comp)
+    if apart.measured["m"]:  # the leader of each bucket with those still apart from it
+        pairs = plausible(apart.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
+        links = links.unionByName(_links(pairs, texts, k, percent))
+        discard(apart, comp)
+        comp = connected_components(links)
+        apart = led(comp)
+        keys = materialize(apart.where("n > 2").select("key").distinct(), "open_keys", m=F.count(F.lit(1)))
+        if keys.measured["m"]:
+            own = comp.select(F.col("v").alias("id"), F.col("component").alias("c")).hint("merge")
+            now = members.join(keys.hint("merge"), "key").join(own, "id", "left").select("key", "id", "lead", F.coalesce("c", "id").alias("c"))
+            rest = _exact_rest(materialize(now, "open"), texts, sigs, k, percent)
             stars = comp.select(F.col("component").alias("a"), F.col("v").alias("b"))
-            comp = materialize(connected_components(stars.unionByName(rest)), "comp")
-    discard(now, tested)
-    out = classes.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    out = materialize(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "near")
-    discard(signed, classes, members, texts, sigs)
+            comp = connected_components(stars.unionByName(rest))
+        discard(keys, pairs)
+    discard(apart, tested, members, involved, texts, sigs)
+    out = classes.join(comp.withColumnRenamed("v", "rep").hint("merge"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
+    discard(classes, comp, links)
     return out
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
-    keep = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.join(keep.hint("merge"), "doc_id", "left_semi") if "doc_id" in docs.columns else docs
+    """The rows of ``docs`` that :func:`near_duplicates` keeps (and those of null doc_id), with all their columns."""
+    gone = materialize(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")

@@ -207,8 +207,12 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(spark, k):
+@pytest.mark.parametrize("k, block, rows_a_band", [(2, 512, 4), (5, 512, 4), (5, 4, 4), (2, 4, 1)])
+def test_near_duplicates(spark, k, block, rows_a_band, monkeypatch):
+    # bands of one row put unlike texts into the same buckets, so that the exact rest has work
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "ROWS", rows_a_band)
+    monkeypatch.setattr(minhash, "BANDS", 128 // rows_a_band)
     r = np.random.default_rng(3)
     base = [f"w{x}" for x in r.integers(0, 4000, 120)]
     rows = [(0, None), (1, ""), (2, "one"), (3, "One"), (4, "one two")]
