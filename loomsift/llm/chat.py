@@ -102,12 +102,31 @@ def canonical_turns(v: Column, layout: Layout) -> Column:
     return F.array(*turns)
 
 
+def fits(v: Column, layout: Layout) -> Column:
+    """Whether a record has what a layout needs, whatever else it holds."""
+    if layout.messages:
+        key, role, text = layout.messages
+        got = F.try_variant_get(v, f"$.{key}", f"array<struct<{role}:string,{text}:string>>")
+        return F.coalesce(F.exists(got, lambda m: m[text].isNotNull()), F.lit(False))
+    needs = [F.try_variant_get(v, f"$.{k}", "string").isNotNull() for k in layout.shape]
+    out = needs[0]
+    for x in needs[1:]:
+        out = out & x
+    return F.coalesce(out, F.lit(False))
+
+
 def to_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with a variant ``record`` -> further columns fingerprint, layout (null if none fits) and turns (then empty)."""
+    """records with a variant ``record`` -> further columns fingerprint, layout and turns.
+
+    A fingerprint that is no layout's (a message holds further fields, or known keys of two layouts meet) falls to the
+    first layout, those of more keys before those of fewer, whose fields the record has. Where none fits layout is null
+    and turns are empty, so that such records can be counted.
+    """
     out = records.withColumn("fingerprint", fingerprint(F.col("record"), layouts))
     layout = turns = None
-    for x in layouts:
-        hit = F.col("fingerprint") == F.xxhash64(F.lit(shape_text(x.shape)))
+    exact = [(x, F.col("fingerprint") == F.xxhash64(F.lit(shape_text(x.shape)))) for x in layouts]
+    loose = [(x, fits(F.col("record"), x)) for x in sorted(layouts, key=lambda x: (not x.messages, -len(x.shape)))]
+    for x, hit in exact + loose:
         name, got = F.lit(x.name), canonical_turns(F.col("record"), x)
         layout = F.when(hit, name) if layout is None else layout.when(hit, name)
         turns = F.when(hit, got) if turns is None else turns.when(hit, got)
@@ -151,15 +170,19 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 def format_records(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds fingerprint, layout, turns, formatted and loss_spans to records with a variant ``record``.
 
-    A null record, or one of an unknown layout, has no turns and an empty text. Null roles and texts become empty. Columns
-    of these names in ``records`` are replaced; others pass through.
+    A null record, or one that no layout fits, has a null layout, no turns and an empty text. Null roles and texts become
+    empty; repeated rows give repeated results; an empty table gives an empty result. Columns of these names in
+    ``records`` are replaced; others pass through.
     """
     out = to_turns(records, layouts)
     return out.withColumns({"formatted": render(F.col("turns")), "loss_spans": loss_spans(F.col("turns"))})
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows -> (conv_id, record), turns in order of (turn, role, text), nulls first."""
+    """(conv_id, turn, role, text) rows -> (conv_id, record), turns in order of (turn, role, text), nulls first.
+
+    Rows of null conv_id form one conversation. Repeated rows are repeated turns. Further columns are ignored.
+    """
     each = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grouped = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(each)).alias("m"))
     messages = F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))

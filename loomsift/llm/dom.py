@@ -5,19 +5,21 @@ from __future__ import annotations
 import re
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration or a tag. A tag ends at ">", or before the next "<"; only after "=" does a quote begin a value.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
-#: Elements whose text is never rendered.
-SKIP = frozenset("script style template noscript head title iframe object embed svg math textarea select option".split())
-_RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose text is never rendered and holds no elements: they run to their end tag.
+RAW = frozenset("script style title textarea iframe template".split())
+#: Elements whose text is no prose. One that isn't closed ends where a block begins or ends.
+SKIP = frozenset("svg select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset figure figcaption "
     "blockquote pre address details summary dialog menu hgroup search center".split()
 )
 #: A start tag of the key closes open elements of the value, up to the nearest element of _SCOPE.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("html body ul ol dl table main article section nav aside header footer div form td th blockquote".split())
 
 
@@ -43,10 +45,15 @@ def _close(stack: list[tuple[str, int]], names: frozenset | set, stop: frozenset
     return False
 
 
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
+
+
 def parse(html: str) -> Tree:
+    """The tree of a page, in one pass. Unknown elements, math, object and noscript are part of what they stand in."""
     t = Tree()
     stack: list[tuple[str, int]] = [("html", 0)]  # (name, nearest block element)
     buf: list[str] = []
+    unclosed: set[str] = set()
     links, in_link, at, n = 0, 0, 0, len(html)
 
     def flush() -> None:
@@ -64,12 +71,19 @@ def parse(html: str) -> Tree:
         buf.append(s)
         links += len(s) if in_link else 0
 
+    def end_of(name: str, start: int) -> int | None:
+        """Behind the end tag; a name without one further on isn't looked for again."""
+        if name in unclosed:
+            return None
+        end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, start)
+        if end is None:
+            unclosed.add(name)
+        return end and end.end()
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
-            rest = html[at:]
-            cut = re.search(r"<[/!?a-zA-Z]", rest)  # an unfinished tag ends the page
-            add(rest[: cut.start()] if cut else rest)
+            add(html[at:])
             break
         if m.start() > at:
             add(html[at : m.start()])
@@ -89,20 +103,19 @@ def parse(html: str) -> Tree:
             elif name == "br":
                 add(" ")
             continue
-        if name in SKIP:
-            self_closed = m.group(3).rstrip().endswith("/") and name not in _RAW
-            if name in ("embed", "option") or self_closed:
-                continue
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            if name == "head" and end is None:  # an unclosed head ends where the body begins
-                end = re.compile(r"(?=<body[\s>])", re.I).search(html, at)
-                if end is None:
-                    continue
-            if name not in ("head",):
-                flush_at = name in ("iframe", "object", "textarea", "select")
-                if flush_at:
-                    add(" ")
-            at = end.end() if end else n
+        if name in RAW:
+            add(" " if name in ("iframe", "textarea") else "")
+            end = end_of(name, at)
+            # the text of an unclosed script or style runs to the end; of the others only the tag is ignored
+            at = end if end is not None else n if name in ("script", "style") else at
+        elif name in SKIP:
+            add(" ")
+            block = _BLOCK_TAG.search(html, at)
+            end = None if m.group(3).rstrip().endswith("/") else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at, block.start() if block else n)
+            if end is not None:
+                at = end.end()
+            elif not m.group(3).rstrip().endswith("/"):
+                at = block.start() if block else n
         elif name in BLOCK:
             flush()
             if name in ("html", "body") and (name == "html" or any(x[0] == "body" for x in stack)):
@@ -119,7 +132,7 @@ def parse(html: str) -> Tree:
             t.attrs.append(" ".join(attrs.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop", "hidden")).lower())
             t.keep.append(attrs.get("data-label", ""))
             stack.append((name, len(t.tag) - 1))
-        elif name in ("br", "hr", "img", "input", "button", "label"):
+        elif name in ("br", "hr", "img", "input", "button", "label", "embed", "option"):
             add(" ")
         elif name == "a":
             in_link = 1

@@ -34,7 +34,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(ids)
         edge = run == 0 or last
         cols = [pa.array([part] * n, pa.int32()), pa.array([run] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array([digest] * n, pa.string())]
-        cols += [pa.array([max(ids)] * n, pa.int64()), pa.array([n] * n, pa.int64()), pa.array([edge] * n, pa.bool_()), pa.array([text if edge else None] + [None] * (n - 1), pa.string())]
+        cols += [pa.array([max((i for i in ids if i is not None), default=None)] * n, pa.int64()), pa.array([n] * n, pa.int64()), pa.array([edge] * n, pa.bool_()), pa.array([text if edge else None] + [None] * (n - 1), pa.string())]
         return pa.RecordBatch.from_arrays(cols, ["part", "run", "doc_id", "text_sha256", "keep_id", "group_size", "edge", "edge_text"])
 
     ready: list[pa.RecordBatch] = []
@@ -57,8 +57,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every document.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty, and nothing else is normalised. The
-    greatest doc_id of a group stays. Rows that repeat a doc_id are counted one by one and share their ``kept``.
-    Further columns of ``docs`` are ignored; an empty table gives an empty result.
+    greatest doc_id of a group stays. Rows that repeat a doc_id are counted one by one and share their ``kept``. A row
+    of null doc_id counts in its group but stays only if the whole group has none (``keep_id`` is then null). Further
+    columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -71,16 +72,18 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     border = border.select(F.col("text_sha256").alias("s"), "k", "g").where("g > 0")
     out = runs.join(F.broadcast(border), (F.col("text_sha256") == F.col("s")) & F.col("edge"), "left")
     out = out.select("doc_id", F.coalesce("k", "keep_id").alias("keep_id"), F.coalesce("g", "group_size").alias("group_size"), "text_sha256")
-    return out.withColumn("kept", F.col("doc_id") == F.col("keep_id")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps."""
-    return docs.join(exact_duplicates(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, and those of null doc_id, which no result can name."""
+    kept = materialize(exact_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("loomsift_id")).distinct(), "kept")
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("loomsift_id"), "left_semi")
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """

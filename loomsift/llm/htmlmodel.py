@@ -171,7 +171,9 @@ def train(labelled: list[str], epochs: int = 30, rate: float = 0.5) -> TreeModel
     return m
 
 
+@lru_cache(2)
 def trained(n: int = 400) -> TreeModel:
+    """The model trained on ``n`` generated pages; the same in each process, and fitted once in it."""
     return train(pages(n))
 
 

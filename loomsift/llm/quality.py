@@ -119,15 +119,19 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Learn from labelled rows that are not held out; SAMPLE of them at most reach the driver, as features."""
+    """Learn from labelled rows that are not held out; about SAMPLE of them reach the driver, as features.
+
+    Repeated labels count once, contradicting ones both; labels of null or unknown ids and other values are left out.
+    """
     bounded_batches(docs.sparkSession)
     marks = labels.where(~held_out()).where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     n = marks.count()
-    marks = marks.withColumn("pick", F.xxhash64("doc_id"))
-    marks = marks.where(F.expr("pmod(pick, 1000003)") / F.lit(1000003.0) < min(1.0, SAMPLE / max(n, 1)))
+    marks = marks.distinct().withColumn("pick", F.xxhash64("doc_id"))
+    # the hash as a number from 0 to 1: a share that holds SAMPLE rows on average, whatever the number of labels
+    marks = marks.where(F.col("pick") / F.lit(2.0**64) + 0.5 < min(1.0, SAMPLE / max(n, 1)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")  # about SAMPLE rows
-    got = rows.select("pick", "quality", "text").mapInArrow(_sample, "pick long, quality int, x array<double>").limit(2 * SAMPLE).collect()
-    got.sort(key=lambda r: (r["pick"], r["quality"]))
+    got = rows.select("pick", "quality", "text").mapInArrow(_sample, "pick long, quality int, x array<double>").collect()
+    got.sort(key=lambda r: (r["pick"], r["quality"], r["x"]))
     x = np.array([r["x"] for r in got], float).reshape(-1, len(NAMES))
     return fit(x, np.array([r["quality"] for r in got], int))
 
@@ -135,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, from its whole text alone.
 
-    Null and empty texts score as a text without words. Equal texts score equally; further columns are ignored; an
-    empty table gives an empty result.
+    Null and empty texts score as a text without words. Equal texts score equally; a null doc_id is passed on and isn't
+    held out; further columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
 

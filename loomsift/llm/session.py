@@ -39,15 +39,17 @@ def materialize(df: DataFrame, label: str = "table", **measures: Column) -> Data
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote and that nothing reads any more."""
     for t in tables:
-        path = getattr(t, "_loomsift_path", None)
-        if path:
-            spark = t.sparkSession
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(t, "_loomsift_path", None):
+            remove(t.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

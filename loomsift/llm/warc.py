@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialize, shared_dir, bounded_batches, width
+from .session import bounded_batches, discard, materialize, remove, shared_dir, width
 
 REVISIT_BYTES, BLOCK_LINES = 100, 500
 ARCHIVE_BYTES = 64 << 20
+#: Revisits up to which (page_id, digest, page_id) is broadcast: 100 bytes or so each.
+REVISITS = 500_000
 _URN = "urn:loomsift:page:"
+NONE = -(1 << 63)
 CAPTURE = "page_id long, url string, file string, offset long, length long, payload_digest string"
 
 
@@ -43,11 +46,11 @@ def _line(value: object) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(value))
 
 
-def record(page_id: int, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
     """A response (payload given) or revisit record. A revisit holds the HTTP header with the full payload's length only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{page_id if page_id is not None else f'none:{uuid.uuid4()}'}>", f"WARC-Date: {date}"]
     head += [f"WARC-Target-URI: {_line(url)}"] if url is not None else []
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
@@ -66,7 +69,7 @@ def parse_record(raw: bytes) -> dict:
     own = fields["WARC-Type"] == "response"
     ref = fields.get("WARC-Refers-To")
     return {
-        "page_id": int(fields["WARC-Record-ID"][1 + len(_URN) : -1]),
+        "page_id": None if (own_id := fields["WARC-Record-ID"][1 + len(_URN) : -1]).startswith("none:") else int(own_id),
         "url": fields.get("WARC-Target-URI"),
         "payload_bytes": len(payload) if own else length,
         "payload_digest": hashlib.sha256(payload).hexdigest() if own else fields["WARC-Payload-Digest"].removeprefix("sha256:"),
@@ -110,7 +113,11 @@ def _write(folder: str, date: str):
 def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, str]:
     """(captures: page_id, url, file, offset, length, payload_digest; folder).
 
-    A null html is an empty payload, a null url leaves its header out. Rows that repeat a page_id are written one by one.
+    A null html is an empty payload, a null url leaves its header out, a page of null page_id is a response under an id of
+    its own. Rows that repeat a page_id are written one by one; further columns are ignored; an empty table writes nothing.
+
+    Only ids and digests are shuffled to find the revisits. Up to REVISITS of them are broadcast, so that each page is
+    written where it lies; beyond that pages are joined by page_id, of which no value is frequent.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -120,10 +127,17 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> tupl
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
-    first = rows.where(f"size >= {REVISIT_BYTES}").groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left").withColumn("ref", F.expr("case when least < page_id then least end"))
+    long = materialize(rows.where(f"size >= {REVISIT_BYTES} and page_id is not null").select("page_id", "digest"), "digests")
+    first = materialize(long.groupBy("digest").agg(F.min("page_id").alias("ref"), F.max("page_id").alias("last")).where("ref < last").drop("last"), "first")
+    # both sides are tables, so that adaptive execution can split a digest that many pages have
+    again = long.join(first.hint("merge"), "digest").where("ref < page_id").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "ref").distinct()
+    again = materialize(again, "revisits", n=F.count(F.lit(1)))
+    hint = F.broadcast if again.measured["n"] <= REVISITS else (lambda t: t.hint("merge"))
+    rows = rows.join(hint(again), (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
     rows = rows.select("page_id", "url", F.expr("case when ref is null then html end").alias("html"), "size", "digest", "ref")
-    return materialize(rows.mapInArrow(_write(folder, date), CAPTURE), "captures"), folder
+    out = materialize(rows.mapInArrow(_write(folder, date), CAPTURE), "captures")
+    discard(long, first, again)
+    return out, folder
 
 
 def _read(folder: str):
@@ -212,7 +226,9 @@ class CaptureIndex:
     def __init__(self, captures: DataFrame, folder: str) -> None:
         self.folder = folder
         spark = captures.sparkSession
-        rows = captures.select(key(F.col("url")).alias("k"), "page_id", "file", "offset", "length", "payload_digest")
+        # a null page_id sorts, and is looked up, as the least number
+        page = F.coalesce("page_id", F.lit(NONE)).cast("long").alias("page_id")
+        rows = captures.select(key(F.col("url")).alias("k"), page, "file", "offset", "length", "payload_digest")
         rows = rows.repartitionByRange(width(spark), "k", "page_id").sortWithinPartitions("k", "page_id")
         table = materialize(rows.mapInArrow(_index(folder), "first_key string, first_page long, last_key string, shard string, lines long"), "shards")
         self.shards = sorted(((r["first_key"].encode(), r["first_page"], r["last_key"].encode(), r["shard"]) for r in table.collect()), key=lambda s: s[:2])
@@ -254,7 +270,7 @@ class Reader:
 
     def lines(self, k: str, page: int | None) -> Iterator[tuple]:
         """Index lines of a key (and page): three binary searches, then a scan of neighbours."""
-        low = (k.encode(), page if page is not None else -(1 << 63))
+        low = (k.encode(), page if page is not None else NONE)
         high = (k.encode(), page if page is not None else 1 << 63)
         i = max(bisect_left(self.firsts, low[0]) - 1, 0)
         while i < len(self.shards) and self.firsts[i] <= high[0]:
@@ -280,15 +296,22 @@ class Reader:
 
 
 def archive_report(pages: DataFrame, every: int = 20) -> DataFrame:
-    """Write, read back and index ``pages``: READING columns, and for page_ids divisible by ``every`` whether the index finds them."""
+    """Write, read back and index ``pages``: READING columns, and for page_ids divisible by ``every`` whether the index finds them.
+
+    One row a page, repeated ones too; null ids, urls and html as :func:`write_archives` says. The archives are removed
+    once the report is written.
+    """
     captures, folder = write_archives(pages)
     back = read_archives(captures, folder)
     index = CaptureIndex(captures, folder)
     asked = captures.where(F.col("page_id") % every == 0).select("url", "page_id").distinct()
     hits = index.lookup(asked).where("intact").groupBy("page_id").agg(F.max("payload_digest").alias("by_index"))
-    out = back.join(hits, "page_id", "left")
+    out = back.join(hits.hint("merge"), "page_id", "left")
     found = F.when(F.col("page_id") % every == 0, F.coalesce(F.col("by_index") == F.col("payload_digest"), F.lit(False)))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", found.alias("indexed"))
+    out = materialize(out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", found.alias("indexed")), "report")
+    discard(captures)
+    remove(pages.sparkSession, folder)
+    return out
 
 
 SQL = """

@@ -106,6 +106,24 @@ def test_warc(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("revisits", [500_000, 1])
+def test_warc_revisits(spark, revisits, monkeypatch):
+    monkeypatch.setattr(warc, "REVISITS", revisits)
+    big, other = "<p>" + "x" * 200, "<p>é" + "y" * 98
+    html = [big, other, None, "", "short"]
+    rows = [(i if i % 11 else None, None if i % 13 == 0 else f"http://h{i % 5}.example/{i % 17}", html[i % 5], "p") for i in range(1, 400)] + [(398, "u", big, "p")]
+    got = warc.archive_report(spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.intact for r in got) and all(r.indexed for r in got if r.page_id is not None and r.page_id % 20 == 0)
+    least = {}
+    for i, _, h, _ in rows:
+        if i is not None and h and len(h.encode()) >= 100:
+            least[h] = min(i, least.get(h, i))
+    import hashlib
+
+    want = sorted((str(i), len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i is not None and h in least and least[h] < i else "response", str(least[h]) if i is not None and h in least and least[h] < i else "None") for i, _, h, _ in rows)
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == want
+
+
 # ---- 3 ----
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -118,6 +136,33 @@ def test_language(spark, odd, none):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def test_language_not_learned_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where("lang <> 'fr'"))
+    other, known = (langid.identify(docs.where(x), model).where("lang_pred <> 'und'") for x in ("lang = 'fr'", "lang <> 'fr'"))
+    assert other.where("rejected").count() > 0.8 * other.count() and known.where("rejected").count() <= 0.005 * known.count()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """300 invented languages, one of 9,000 rows among languages of 25, each with syllables of its own."""
+    monkeypatch.setattr(langid, "SAMPLE", 3000)
+    r = random.Random(8)
+    words = {f"l{k}": ["".join(chr(0x4E00 + (k * 61 + r.randrange(61))) for _ in range(3)) for _ in range(40)] for k in range(300)}
+    rows = [(i, " ".join(r.choices(words[f"l{k}"], k=30)), f"l{k}") for i, k in enumerate(k for k in range(300) for _ in range(2000 if k == 7 else 25))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300
+    assert np.mean([model.predict(t)[0] == lang for _, t, lang in rows[::17]]) > 0.95
+
+
+def test_a_step_raises_the_right_class():
+    at, n = [np.array([1, 5, 9])] * 2, [np.array([2.0, 1.0, 4.0])] * 2
+    before = langid.fit(at, n, np.array([0, 0]), ["a", "b"], seed=3, epochs=0)
+    after = langid.fit(at[:1], n[:1], np.array([0]), ["a", "b"], seed=3, epochs=1)
+    share = n[0] / (n[0].sum() + langid.SHRINK)
+    p = [np.exp((share @ m.table[at[0]]) + m.bias) for m in (before, after)]
+    assert (p[1] / p[1].sum())[0] > (p[0] / p[0].sum())[0]
+
+
 # ---- 4 ----
 def test_layouts(spark):
     texts = {
@@ -127,6 +172,8 @@ def test_layouts(spark):
         "instruction_input": '{"instruction": "do", "input": "this", "output": "a"}',
         "question_answer": '{"question": "q", "answer": "a"}',
         None: '{"weird": 1}',
+        "turns": '{"messages": [{"role": "user", "text": "q", "name": "x", "tools": [{"a": 1}]}, {"role": "assistant", "text": "a"}], "prompt": "p"}',
+        "prompt_completion": '{"prompt": "q", "completion": "a", "question": "q"}',
     }
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "want string, json string").withColumn("record", F.parse_json("json"))
     rows = chat.format_records(df).withColumn("back", chat.parse(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans"))).collect()
@@ -135,6 +182,15 @@ def test_layouts(spark):
     by = {r.want: r for r in rows}
     assert [(t.role, t.text) for t in by["messages"].turns] == [("user", "q"), ("assistant", "")] and by["instruction_input"].turns[0].text == "do\nthis"
     assert by["from_value"].turns[0].role == "user" and by["from_value"].loss == "a" and by[None].formatted == ""
+    assert [(t.role, t.text) for t in by["turns"].turns] == [("user", "q"), ("assistant", "a")] and by["prompt_completion"].turns[1].text == "a"
+
+
+def test_conversation_rows(spark):
+    rows = [(1, 2, "assistant", "same"), (1, 1, None, None), (1, 2, "assistant", "same"), (None, None, "user", "x" * 200000), (2, None, "user", "")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, record string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_records(chat.conversation_records(df))).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 8 and got[None].n_turns == 1 and got[2].loss_chars == 0 and len(got) == 3
+    assert chat.digest(chat.format_records(chat.conversation_records(df.limit(0)))).count() == 0
 
 
 def test_template_round_trip(spark):
@@ -148,6 +204,15 @@ def test_template_round_trip(spark):
 
 
 # ---- 5 ----
+def test_short_items(spark):
+    docs = [(1, "Is this the END of it?"), (2, "the end"), (3, "今天天气很好。我们去公园，好吗"), (4, "end the"), (None, "the end"), (5, "")]
+    docs = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, h int")
+    items = spark.createDataFrame([(1, "the, end"), (2, "我们去公园 好吗"), (3, ""), (4, None), (5, "one two three four"), (None, "end"), (1, "the end")], "item_id long, text string")
+    got = [(r.doc_id, r.item_ids) for r in decontaminate.contamination(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(1, "1"), (2, "1"), (3, "2"), (4, ""), (None, ""), (5, "")], key=str)
+    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(docs, items).collect()) == ["4", "5", "None"]
+
+
 def test_contained_items(spark, odd, none):
     item = " ".join(f"w{i}" for i in range(40))
     cut = " ".join(f"w{i}" for i in range(37))
@@ -171,6 +236,15 @@ def test_exact(spark, odd, none):
     want = {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(docs).collect()} == want
     assert exact.exact_duplicates(odd).count() == len(ODD) and exact.exact_duplicates(none).count() == 0
+    assert exact.drop_exact_duplicates(odd).columns == odd.columns and exact.drop_exact_duplicates(none).count() == 0
+
+
+def test_exact_null_ids(spark):
+    rows = [(None, "A"), (3, "a"), (1, "a"), (None, "b"), (None, "B"), (4, "c"), (4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 3, 3, False), (3, 3, 3, True), (1, 3, 3, False), (None, None, 2, True), (None, None, 2, True), (4, 4, 1, True), (4, 4, 1, True)], key=str)
+    assert sorted(str(r.doc_id) for r in exact.drop_exact_duplicates(docs).collect()) == ["3", "4", "4", "None", "None", "None"]
 
 
 # ---- 7 ----
@@ -185,7 +259,32 @@ def test_quality(spark, odd, none):
     assert quality.score(none, quality.train(none, labels.limit(0))).count() == 0
 
 
+def test_quality_features_and_pairs(spark, odd):
+    import pyarrow as pa
+
+    x = dict(zip(quality.NAMES, quality.features(pa.array(["Ab c1\nab C1!", ""]))[0]))
+    assert x["upper"] == 2 / 12 and x["lower"] == 4 / 12 and x["digit"] == 2 / 12 and x["newline"] == 1 / 12 and x["mark"] == 1 / 12
+    assert math.isclose(x["words"], math.log1p(4)) and x["distinct"] == 3 / 4 and x["distinct_pairs"] == 1 and x["upper_of_letters"] == 2 / 6 and x["word_length"] == 9 / 4
+    r = np.random.default_rng(1)
+    z = r.normal(size=(400, len(quality.NAMES)))
+    y = (z[:, 2] + 0.1 * r.normal(size=400) > 0).astype(int)
+    s = quality.fit(z, y).score(z)
+    assert np.mean([a > b for a in s[y == 1] for b in s[y == 0]]) > 0.98 and np.mean((s >= 0.3) == (y == 1)) > 0.93
+    labels = [(4, 1), (4, 1), (4, 0), (6, 0), (None, 1), (7, None), (8, 5), (99, 1)]
+    model = quality.train(odd, spark.createDataFrame([(*x, "t") for x in labels], "doc_id long, quality int, text string"))
+    assert len(quality.score(odd, model).collect()) == len(ODD)
+
+
 # ---- 8 ----
+def test_near_duplicates_of_null_ids(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, t, 1), (5, t, 1), (7, t + " end", 1), (None, None, 1), (7, t + " end", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, v long")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 5).collect()), key=str)
+    assert got == sorted([(None, None, True), (5, 5, True), (7, 5, False), (7, 5, False), (None, None, True)], key=str)
+    assert sorted(str(r.doc_id) for r in minhash.drop_near_duplicates(docs, 5).collect()) == ["5", "None", "None"]
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t in rows:
@@ -248,6 +347,60 @@ def test_html(spark):
     assert got[1].text == "A & B\n\nOne two three.\n\nFour five six seven." and got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == got[5].text == ""
 
 
+def test_marginals_are_those_of_all_states():
+    """Sum-product against the sum over all states of small trees."""
+    import itertools
+
+    r = np.random.default_rng(7)
+    for _ in range(12):
+        n = int(r.integers(2, 9))
+        t = dom.Tree()
+        for i in range(1, n):
+            t.parent.append(int(r.integers(0, i)))
+            t.tag.append(str(r.choice(["p", "li", "article", "nav", "div"])))
+        feats = [[int(x) for x in r.choice(len(htmlmodel.FEATURES), 3, replace=False)] for _ in range(n)]
+        m = htmlmodel.TreeModel(r.normal(size=len(htmlmodel.FEATURES)).tolist(), r.normal(size=(htmlmodel.KINDS, 2, 2)).tolist())
+        total, one = 0.0, np.zeros(n)
+        for state in itertools.product((0, 1), repeat=n):
+            e = sum(sum(m.unary[k] for k in feats[i]) * state[i] for i in range(n))
+            e += sum(m.pair[htmlmodel._kind(t.tag[i])][state[t.parent[i]]][state[i]] for i in range(1, n))
+            total += math.exp(e)
+            one += np.array(state) * math.exp(e)
+        assert np.allclose(m.marginals(t, feats), one / total)
+
+
+#: (page, its text), written by hand.
+HAND = [
+    ("<html><head><title>T</title><meta name=x></head><body><div id=top><a href=/>Home</a> <a href=/n>News</a></div><div class=story><h2>Storm hits the coast</h2><p>Waves of <em>ten</em> metres hit the harbour on Monday night, the port authority said.</p><p>Nobody was hurt.</p></div><div class=comments><p>First!</p><p>I was there and it was loud.</p></div></body></html>",
+     "Storm hits the coast\n\nWaves of ten metres hit the harbour on Monday night, the port authority said.\n\nNobody was hurt."),
+    ("<body><nav>Menu</nav><main><article><h1>Area of a disc</h1><p>It is <math><mi>&pi;</mi><msup><mi>r</mi><mn>2</mn></msup></math>, as everyone knows.</p><object data=f.swf>A film that shows it.<p>And here the text goes on after it.</p></article></main><footer>&copy; 2020</footer>",
+     "Area of a disc\n\nIt is \u03c0r2, as everyone knows.\n\nA film that shows it.\n\nAnd here the text goes on after it."),
+    ("<body><div class='cookie-notice'>We use cookies.</div><article><p>One long sentence stands here to be read by all of us today.<svg><text>12</text><p>A second long sentence stands here, behind a broken drawing.</p><ul><li>First point of the list.</li><li>Second point of the list.</li></ul></article><aside>Buy this</aside><form><label>Mail</label><select><option>a<option>b</select></form>",
+     "One long sentence stands here to be read by all of us today.\n\nA second long sentence stands here, behind a broken drawing.\n\nFirst point of the list.\n\nSecond point of the list."),
+]
+
+
+@pytest.mark.parametrize("html, text", HAND)
+def test_hand_written_pages(html, text):
+    assert htmlmodel.trained(400).extract(html) == text
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<a " * 100000 + '=">"', "<!" * 100000, "<a b='" * 100000, "<svg>" * 30000, "<template>" * 100000, "<!--" * 100000):
+        dom.parse(html)
+    assert time.time() - began < 30
+    texts = [r[1] for r in dom.parse("<head><title>T</title><p>a<textarea>k</textarea>b<textarea>c</p><noscript><p>d</p><template><p>n</p></template><script>x</script ><select><option>o<p>e<script>f").runs]
+    assert texts == ["a b c", "d", "e"]
+
+
+def test_extract_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, n_chars int")
+    assert htmlmodel.extract_text(none).count() == 0 and htmlmodel.extract_text(none).columns == ["page_id", "url", "text", "n_chars"]
+
+
 # ---- 10 ----
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
