@@ -7,10 +7,10 @@ the exact comparison of full sets. Exactly equal sets are collapsed first.
 
 Buckets are not expanded into all pairs. Each document is first compared with the least leader of its buckets, then
 with the leader of each bucket in which it is still apart; members that fall into a leader's component need no
-further pair. Buckets that then still hold different components are joined into clusters. A cluster of ``BLOCK``
-documents or fewer is compared exactly inside one task (signature estimate, set sizes, full sets); of a larger one each
-bucket is, in blocks. Tasks emit verified links only: no link between different components is lost and no group is
-expanded into pair rows.
+further pair. Buckets that then still hold different components are joined into clusters, and each cluster, or each
+of its buckets where that is less work, is compared exactly in blocks inside tasks (signature estimate, set sizes, full
+sets). Tasks emit verified links only: no link between different components is lost and no group is expanded into pair
+rows.
 
 Joins that can meet a frequent key have tables on both sides, so that adaptive execution can split it.
 """
@@ -32,8 +32,8 @@ HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped unverified.
 MARGIN = 6.0
-#: Documents of a cluster that one task holds twice over in the exact rest.
-BLOCK = 512
+#: Documents of a group that one task holds twice over in the exact rest.
+BLOCK = 1024
 #: Pairs that share one shipped copy of a leader's text.
 CHUNK = 256
 
@@ -212,20 +212,23 @@ def _pair_batch(a: list, b: list) -> pa.RecordBatch:
 def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between members of open buckets (key, id, lead, c).
 
-    A cluster of buckets that holds BLOCK documents or fewer is compared as one group, the buckets of a larger one by
-    themselves, in blocks.
+    A cluster of buckets is compared as one group, or each of its buckets by itself, whichever ships fewer copies of
+    texts: a group of m documents takes m / BLOCK copies of each.
     """
     spark = texts.sparkSession
     comp = connected_components(now.select(F.col("lead").alias("a"), F.col("id").alias("b")))
     cluster = comp.select(F.col("v").alias("id"), F.col("component").alias("cluster"))
     held = materialize(now.join(cluster.hint("merge"), "id").select("key", "id", "c", "cluster"), "clustered")
-    size = materialize(held.select("cluster", "id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster_sizes")
-    held = held.join(size.hint("merge"), "cluster").withColumn("key", F.when(F.col("m") <= BLOCK, F.col("cluster")).otherwise(F.col("key")))
-    held = materialize(held.withColumn("small", F.col("m") <= BLOCK).select("small", "key", "id", "c").distinct(), "groups")
-    blocks = materialize(held.groupBy("small", "key").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("nb")), "blocks")
-    laid = held.join(blocks.hint("merge"), ["small", "key"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
+    rows = F.expr(f"m * ceil(m / {BLOCK})")
+    as_one = held.select("cluster", "id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).select("cluster", rows.alias("one"))
+    apart = held.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.sum(rows).alias("each"))
+    size = materialize(as_one.join(apart, "cluster").select("cluster", (F.col("one") <= F.col("each")).alias("whole")), "clusters")
+    held = held.join(size.hint("merge"), "cluster").select("whole", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("key"), "id", "c")
+    held = materialize(held.distinct(), "groups")
+    blocks = materialize(held.groupBy("whole", "key").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("nb")), "blocks")
+    laid = held.join(blocks.hint("merge"), ["whole", "key"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
     laid = laid.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
-    group = F.struct("small", "key").alias("group")
+    group = F.struct("whole", "key").alias("group")
     rows = laid.join(sigs.hint("merge"), "id").join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id").select(group, "i", "j", "id", "c", "block", "sig", "text")
     rows = rows.repartition(width(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
     out = materialize(rows.mapInArrow(_compare(k, percent), "a long, b long"), "rest")

@@ -306,7 +306,7 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("k, block, rows_a_band", [(2, 512, 4), (5, 512, 4), (5, 4, 4), (2, 4, 1)])
+@pytest.mark.parametrize("k, block, rows_a_band", [(2, 1024, 4), (5, 1024, 4), (5, 4, 4), (2, 4, 1)])
 def test_near_duplicates(spark, k, block, rows_a_band, monkeypatch):
     # bands of one row put unlike texts into the same buckets, so that the exact rest has work
     monkeypatch.setattr(minhash, "BLOCK", block)
