@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomsift.llm import decontaminate, langid, linedup, minhash, mixing
-from loomsift.llm.session import materialize, table
+from loomsift.llm.session import discard, materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without blocks of lines that an earlier document has; those of which nothing is left go."""
+    """Documents without blocks of lines that an earlier document holds too; those of which nothing is left go."""
     return linedup.drop_repeated_lines(docs)
 
 
@@ -42,5 +42,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
     return docs
