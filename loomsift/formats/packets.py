@@ -96,8 +96,11 @@ def _value(body: bytes, order: str, kind: int, n: int, raw: bytes) -> str:
     return ", ".join(map(str, struct.unpack(f"{order}{n}{code}", raw)))
 
 
-def tiff_entries(body: bytes):
-    """(entry offset, tag, kind, count, value offset, order, names) over all directories, each once."""
+def tiff_entries(body: bytes, directories: list[tuple[int, int, str]] | None = None):
+    """(entry offset, tag, kind, count, value offset, order, names) over all directories, each once.
+
+    ``directories`` gets (offset, entries, order) of each whole directory.
+    """
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(body[:4])
     if order is None:
         return
@@ -109,6 +112,8 @@ def tiff_entries(body: bytes):
             continue
         seen.add(at)
         n = struct.unpack_from(order + "H", body, at)[0]
+        if directories is not None and at + 2 + 12 * n <= len(body):
+            directories.append((at, n, order))
         for i in range(n):
             e = at + 2 + 12 * i
             if e + 12 > len(body):

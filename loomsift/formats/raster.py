@@ -263,17 +263,21 @@ def _clean_webp(body: bytes) -> bytes:
 
 # ---- TIFF and boxes ----
 def _clean_tiff(body: bytes) -> bytes:
-    """Blanks every value and turns every entry that is not structural into an empty private one, in place."""
+    """In place: blanks every value that isn't structural and takes its entry out of the directory."""
     if body[:4] not in (b"II*\0", b"MM\0*"):
         raise CleanError("no TIFF signature")
     out = bytearray(body)
-    for e, tag, kind, count, where, order, names in tiff_entries(body):
-        if tag in _STRUCTURE or tag in (0x112, 0x11A, 0x11B, 0x128, 0x8769, 0x8825, 0xA005, 0xA002, 0xA003, 0x9000, 0x14A):
-            continue
-        n = _SIZES[kind] * count
-        out[where : where + n] = b"\0" * n
-        struct.pack_into(order + "HHI", out, e, tag, 1, min(n, 4))
-        out[e + 8 : e + 12] = b"\0\0\0\0"
+    directories: list[tuple[int, int, str]] = []
+    keep = _STRUCTURE | {0x14A}  # pictures in directories of their own
+    for _, tag, kind, count, where, _, _ in tiff_entries(body, directories):
+        if tag not in keep:
+            n = _SIZES[kind] * count
+            out[where : where + n] = b"\0" * n
+    for at, n, order in directories:
+        entries = [bytes(out[e : e + 12]) for e in range(at + 2, at + 2 + 12 * n, 12)]
+        left = [e for e in entries if struct.unpack_from(order + "H", e)[0] in keep]
+        rest = bytes(body[at + 2 + 12 * n : at + 6 + 12 * n])  # where the next directory is
+        out[at : at + 2 + 12 * n + len(rest)] = (struct.pack(order + "H", len(left)) + b"".join(left) + rest).ljust(2 + 12 * n + len(rest), b"\0")
     return bytes(out)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,13 @@ _ITEM = pa.struct([("key", pa.string()), ("value", pa.string())])
 _GROUP = pa.struct([("filename", pa.string()), ("items", pa.list_(_ITEM))])
 GROUPS = "array<struct<filename:string,items:array<struct<key:string,value:string>>>>"
 _INPUT = ["file_id", "filename", "mime_type", "body"]
-#: Bodies are handed over a few at a time, so that large ones fit in a worker's memory.
-BATCH_ROWS = 64
+#: Bounds of the batches that bodies are handed over in, the same for all; a larger body comes alone.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def _encode(groups: list | None) -> list | None:
@@ -25,7 +31,7 @@ def _encode(groups: list | None) -> list | None:
 
 def process(files: DataFrame, options: Options = Options(), read: bool = True, clean: bool = False) -> DataFrame:
     """(file_id, filename, groups, error_class, error, cleaned, clean_error_class, clean_error) of files with bodies."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    _bounded(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..formats.registry import clean_body, read_groups, safely
@@ -74,7 +80,7 @@ MEMBERS = (
 
 def members(files: DataFrame, options: Options = Options()) -> DataFrame:
     """A row for each member of each archive, bodies inflated; a refused archive gives one row with an error."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    _bounded(files.sparkSession)
     kind = files.schema["file_id"].dataType.simpleString()
     schema = StructType.fromDDL(MEMBERS.format(kind))
 
@@ -115,9 +121,9 @@ def rebuild_zip(cleaned_members: DataFrame, options: Options = Options()) -> Dat
 
 def register(spark: SparkSession, options: Options = Options()) -> None:
     """SQL functions: read_metadata (a table function over body and file name), clean_metadata, mime_of and handler_of."""
-    from pyspark.sql.functions import udf, udtf
+    from pyspark.sql.functions import pandas_udf, udtf
 
-    from ..formats.registry import handler_of, mime_of
+    from ..formats.registry import HANDLER_OF, MIME_OF, OTHER
 
     @udtf(returnType="group_ord int, group_name string, item_ord int, key string, value string, error_class string, error string")
     class ReadMetadata:
@@ -131,40 +137,66 @@ def register(spark: SparkSession, options: Options = Options()) -> None:
                 for i, (k, v) in enumerate(items):
                     yield g, name, i, k, v, None, None
 
-    def clean(body: bytes | None, filename: str) -> bytes | None:
+    @pandas_udf("binary")
+    def clean(bodies: pd.Series, names: pd.Series) -> pd.Series:
         from ..formats.registry import clean_body, mime_of, safely
 
-        return safely(clean_body, bytes(body) if body is not None else None, filename, mime_of(filename), options)[0]
+        return pd.Series([safely(clean_body, bytes(b) if b is not None else None, n, mime_of(n), options)[0] for b, n in zip(bodies, names)], dtype=object)
 
     spark.udtf.register("read_metadata", ReadMetadata)
-    spark.udf.register("clean_metadata", udf(clean, "binary"))
-    spark.udf.register("mime_of", udf(mime_of, "string"))
-    spark.udf.register("handler_of", udf(handler_of, "string"))
+    spark.udf.register("clean_metadata", clean)
+    # these two are SQL, so they stay in the JVM; the doubled backslashes are SQL's
+    ext = r"lower(regexp_extract(element_at(split(name, '[/\\\\]'), -1), '^.+\\.([^.]*)$', 1))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mime_of(name STRING) RETURNS STRING RETURN coalesce(try_element_at({_sql_map(MIME_OF)}, {ext}), '{OTHER}')")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION handler_of(mime STRING) RETURNS STRING RETURN try_element_at({_sql_map(HANDLER_OF)}, mime)")
+
+
+def _sql_map(d: dict[str, str]) -> str:
+    return "map(" + ", ".join(f"'{x}'" for kv in d.items() for x in kv) + ")"
 
 
 def write_cleaned(cleaned: DataFrame, folder: str) -> DataFrame:
-    """Write each cleaned body under ``folder`` by file_id and name: a private file first, then an atomic rename. Inputs are never touched."""
-    import pandas as pd
+    """Write each cleaned body under ``folder`` by file_id and name -> (file_id, path, length).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``folder`` is a URI (file, hdfs, s3, gs, abfs) or a local path; on a cluster it has to be one that all machines see.
+    A private file is written first and then moved over the name, so a reader finds the whole file or none, and a task
+    that runs twice does no harm. Inputs are never touched. A column ``mode`` gives the permissions of local files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         import uuid
 
+        from pyarrow import fs as store
+
+        fs, root = store.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        local = isinstance(fs, store.LocalFileSystem)
+        made = False
         for b in batches:
             rows = []
-            for file_id, name, body in zip(b["file_id"], b["filename"], b["body"]):
-                if body is None:
-                    continue
-                os.makedirs(folder, exist_ok=True)
-                path = os.path.join(folder, f"{file_id}-{os.path.basename(name)}")
+            for file_id, name, body, mode in zip(*(c.to_pylist() for c in b.columns)):
+                if not made:
+                    fs.create_dir(root, recursive=True)
+                    made = True
+                path = f"{root}/{file_id}-{os.path.basename(name)}"
                 tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-                with open(tmp, "wb") as f:
-                    f.write(body)
-                    f.flush()
-                    os.fsync(f.fileno())
-                os.replace(tmp, path)
+                if local:
+                    with open(os.open(tmp, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
+                        f.write(body)
+                        f.flush()
+                        os.fchmod(f.fileno(), 0o644 if mode is None else mode & 0o777)
+                        os.fsync(f.fileno())
+                    os.replace(tmp, path)
+                else:
+                    with fs.open_output_stream(tmp, compression=None) as f:
+                        f.write(body)
+                    fs.move(tmp, path)
                 rows.append((file_id, path, len(body)))
-            yield pd.DataFrame(rows, columns=["file_id", "path", "length"])
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.types[0]), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["file_id", "path", "length"])
 
+    _bounded(cleaned.sparkSession)
     kind = cleaned.schema["file_id"].dataType.simpleString()
-    return cleaned.where("action = 'write'").select("file_id", "filename", "body").mapInPandas(run, f"file_id {kind}, path string, length long")
+    mode = F.col("mode").cast("int") if "mode" in cleaned.columns else F.lit(None).cast("int")
+    rows = cleaned.where("action = 'write' and body is not null").select("file_id", "filename", "body", mode.alias("mode"))
+    return rows.mapInArrow(run, f"file_id {kind}, path string, length long")

@@ -81,3 +81,14 @@ def to_clean(store: DataFrame) -> DataFrame:
 def remove(store: DataFrame, file_ids: DataFrame) -> DataFrame:
     """Ids that aren't there do nothing."""
     return store.join(file_ids.select("file_id").distinct(), "file_id", "left_anti")
+
+
+def clear(store: DataFrame) -> DataFrame:
+    """No row, the same columns."""
+    return store.limit(0)
+
+
+def position(store: DataFrame, file_id: object) -> DataFrame:
+    """(position) of a file among the rows in order of file_id, from 0; no row if it isn't there. One count, no sort."""
+    before = store.agg(F.count_if(F.col("file_id") < F.lit(file_id)).alias("position"), F.coalesce(F.bool_or(F.col("file_id") == F.lit(file_id)), F.lit(False)).alias("there"))
+    return before.where("there").select("position")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..operators import files as ops
 from ..operators import store
 from ..options import Options
 from ..streaming import fold
+from . import expected as E
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,11 +149,11 @@ for _name, _rows, _file, _reads, _cleans in [
 
 def _packets(rows: list, parse: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        @F.udf("array<struct<key:string,value:string>>")
-        def items(body):  # noqa: ANN001, ANN202
+        @F.pandas_udf("array<struct<key:string,value:string>>")
+        def items(bodies: pd.Series) -> pd.Series:
             from ..formats import packets
 
-            return getattr(packets, parse)(bytes(body))
+            return bodies.map(lambda b: [{"key": k, "value": v} for k, v in getattr(packets, parse)(bytes(b))])
 
         df = spark.createDataFrame([(r[0], r[1]) for r in rows], "id long, body binary")
         got = df.select("id", F.posexplode(items("body")).alias("item_ord", "i"))
@@ -411,33 +413,181 @@ def clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.to_clean(state_fold(spark, sf_dir)).select("file_id", "state")
 
 
-# ---- containers built here; bytes can't be expressed in SQL ----
+# ---- containers built here, against literal tables of what they hold ----
+def _bodies(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:
+    df = spark.createDataFrame([(i, n, bytearray(b)) for i, (n, b) in enumerate(files)], "file_id long, filename string, body binary")
+    return df.withColumn("mime_type", N.mime_type(F.col("filename")))
+
+
 def _containers(spark: SparkSession) -> DataFrame:
     from .samples import CONTAINERS
 
-    return spark.createDataFrame([(i, n, m, b) for i, (n, m, b) in enumerate(CONTAINERS())], "file_id long, filename string, mime_type string, body binary")
+    return _bodies(spark, [(n, b) for n, _, b in CONTAINERS()])
+
+
+def _literal(schema: str, rows: list[tuple]) -> str:
+    return f"WITH {X.Literal('x', schema, rows).cte()} SELECT * FROM x"
+
+
+def _items(files: DataFrame) -> DataFrame:
+    return ops.metadata_items(ops.process(files)).join(files.select("file_id", "filename"), "file_id").select("filename", "group_name", F.col("item_ord").cast("long").alias("item_ord"), "key", "value")
+
 
+_ITEM_ROW = "filename string, group_name string, item_ord long, key string, value string"
+_HEX = "filename string, body string, failed boolean"
 
-@query()
+
+def _hex(files: DataFrame) -> DataFrame:
+    p = ops.process(files, read=False, clean=True)
+    return p.select("filename", F.lower(F.hex("cleaned")).alias("body"), F.col("clean_error_class").isNotNull().alias("failed"))
+
+
+@query(_literal(_ITEM_ROW, E.CONTAINER_ITEMS))
 def container_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.metadata_items(ops.process(_containers(spark))).select("file_id", "group_name", "item_ord", "key", "value")
+    """Archives and office files: headers of members, document properties, what members say of themselves."""
+    return _items(_containers(spark).where(~F.col("filename").rlike(r"\.(pdf|flac|mp3)$")))
+
+
+@query(_literal(_ITEM_ROW, E.PDF_ITEMS))
+def pdf_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(_containers(spark).where("filename like '%.pdf'"))
+
+
+@query(_literal(_ITEM_ROW, E.AUDIO_ITEMS))
+def audio_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import SOUNDS
+
+    return _items(_bodies(spark, SOUNDS()))
+
+
+@query(_literal(_ITEM_ROW, E.IMAGE_ITEMS))
+def image_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import IMAGES
+
+    return _items(_bodies(spark, IMAGES()))
+
+
+@query(_literal(_HEX, E.AUDIO_CLEAN))
+def audio_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import SOUNDS
+
+    return _hex(_bodies(spark, SOUNDS()))
+
+
+@query(_literal(_HEX, E.IMAGE_CLEAN))
+def image_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import IMAGES
+
+    return _hex(_bodies(spark, IMAGES()))
+
 
+@query(_literal("ord long, object string", E.PDF_OBJECTS))
+def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of the cleaned PDF; what names them (offsets, identifier) follows from the bytes."""
+    p = ops.process(_containers(spark).where("filename like '%.pdf'"), read=False, clean=True)
+    body = F.decode("cleaned", "ISO-8859-1")
+    found = F.regexp_extract_all(body, F.lit(r"(?s)\d+ 0 obj\n(.*?)\nendobj"), F.lit(1))
+    return p.select(F.posexplode(found).alias("ord", "object")).select(F.col("ord").cast("long").alias("ord"), "object")
 
-@query()
+
+def _parts(files: DataFrame) -> DataFrame:
+    """Members of cleaned containers, read by the standard library: (filename, ord, name, stamp, text)."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import io
+        import tarfile
+        import zipfile
+
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if ".tar" in name:
+                    with tarfile.open(fileobj=io.BytesIO(body)) as t:
+                        rows += [(name, i, m.name, f"{m.mtime} {m.uid} {m.uname} {m.mode:o}", t.extractfile(m).read()) for i, m in enumerate(t)]
+                else:
+                    with zipfile.ZipFile(io.BytesIO(body)) as z:
+                        rows += [(name, i, m.filename, f"{m.date_time[0]} {m.compress_type}", z.read(m)) for i, m in enumerate(z.infolist())]
+            cols = list(zip(*rows)) or [()] * 5
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["filename", "ord", "name", "stamp", "body"])
+
+    done = ops.process(files, read=False, clean=True).where("cleaned is not null").select("filename", "cleaned")
+    got = done.mapInArrow(run, "filename string, ord long, name string, stamp string, body binary")
+    text = F.regexp_replace(F.decode("body", "ISO-8859-1"), "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "UUID")
+    return got.select("filename", "ord", "name", "stamp", text.alias("text"))
+
+
+_PART = "filename string, ord long, name string, stamp string, text string"
+
+
+@query(_literal(_PART, E.OFFICE_PARTS))
+def office_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(_containers(spark).where(F.col("filename").rlike(r"\.(docx|odt|epub)$")))
+
+
+@query(_literal(_PART, E.ARCHIVE_PARTS))
+def archive_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(_containers(spark).where(F.col("filename").rlike(r"^a\.(zip|tar)"))).select("filename", "ord", "name", "stamp", "text")
+
+
+@query(_literal("filename string, failed string", E.REFUSED))
 def container_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which containers are refused, and why."""
     p = ops.process(_containers(spark), read=False, clean=True)
-    return p.select("file_id", "filename", F.octet_length("cleaned").cast("long").alias("length"), F.sha2("cleaned", 256).alias("sha256"), "clean_error_class")
+    return p.where("clean_error_class is not null").select("filename", F.col("clean_error_class").alias("failed"))
 
 
-@query()
+@query(_literal("filename string, ord long, name string, type string, mtime long, size long, error_class string", E.MEMBERS))
 def container_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _containers(spark).where(N.handler(F.col("mime_type")) == "archive")
-    return ops.members(files).select("file_id", "ord", "name", "type", "mtime", "size", "error_class")
+    got = ops.members(files).join(files.select("file_id", "filename"), "file_id")
+    return got.select("filename", F.col("ord").cast("long").alias("ord"), "name", "type", "mtime", "size", "error_class")
 
 
-@query()
+@query(_FOLD + "SELECT * FROM f")
 def event_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold with explicit per-file state; each file's last row is its state."""
+    """The fold with explicit per-file state, by time and event number; each file's last row is its state."""
     schema = _table(spark, sf_dir, "events").schema
     e = _events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
-    return fold.run_to_end(fold.fold_with_state(e.withColumn("seq", F.col("seq.event_id"))), "update")
+    e = e.withColumns({"tie": F.col("seq.event_id"), "seq": F.unix_micros(F.col("seq.ts").cast("timestamp"))})
+    return fold.run_to_end(fold.fold_with_state(e), "update")
+
+
+# ---- views of the store ----
+@query(_FOLD + f"SELECT 'user-' || file_id || '.txt' AS filename, 'home/' || file_id % 7 AS directory, {_SIMPLE} AS simple_state, 0::BIGINT AS metadata_count FROM f")
+def list_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of files as the view shows it."""
+    f = store.fold_events(_events(_table(spark, sf_dir, "events")))
+    path = F.concat(F.lit("home/"), (F.col("file_id") % 7).cast("string"), F.lit("/user-"), F.col("file_id").cast("string"), F.lit(".txt"))
+    return store.list_rows(f.withColumns({"filename": N.file_name(path), "directory": N.directory(path)}))
+
+
+@query("SELECT file_id, 'f' || file_id AS header, list(key || ': ' || value ORDER BY group_ord, item_ord) AS lines FROM (VALUES (1, 0, 0, 'Author', 'Al'), (1, 0, 1, 'Title', 'T'), (1, 1, 0, 'Author', 'Bo'), (2, 0, 0, 'k', '')) v(file_id, group_ord, item_ord, key, value) GROUP BY file_id")
+def detail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the details of a file show: the first group's name and all items in order."""
+    rows = [(1, 1, "inner", 0, "Author", "Bo"), (1, 0, "f1", 1, "Title", "T"), (2, 0, "f2", 0, "k", ""), (1, 0, "f1", 0, "Author", "Al")]
+    items = spark.createDataFrame(rows, "file_id int, group_ord int, group_name string, item_ord int, key string, value string")
+    return store.details(items)
+
+
+_BAD = [
+    (1, "Unsupported", "error", "UnsupportedFormat"), (2, "ErrorWhileCheckingMetadata", "error", "FileTooLarge"), (3, "ErrorWhileCheckingMetadata", "error", "ParseError"), (4, "HasNoMetadata", "warning", None),
+]
+
+
+@query(f"WITH {X.Literal('x', 'file_id long, state string, simple_state string, error_class string', _BAD).cte()} SELECT * FROM x")
+def error_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no handler takes, that are too large, that are broken, and one that is fine."""
+    rows = [(1, "a.bin", b"x"), (2, "big.css", b"a" * 100), (3, "bad.torrent", b"i-0e"), (4, "ok.css", b"a{}")]
+    files = spark.createDataFrame(rows, "file_id long, filename string, body binary").withColumn("mime_type", N.mime_type(F.col("filename")))
+    return ops.file_results(ops.process(files, Options(input_cap=64))).select("file_id", "state", "simple_state", "error_class")
+
+
+@query("SELECT page_id, 'title' AS key, trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) AS value FROM pages")
+def read_metadata_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function read_metadata over the pages' bodies, from SQL."""
+    ops.register(spark)
+    _table(spark, sf_dir, "pages").createOrReplaceTempView("loomsift_pages")
+    return spark.sql("SELECT page_id, key, value FROM loomsift_pages, LATERAL read_metadata(CAST(html AS BINARY), 'page.html') WHERE key = 'title'")

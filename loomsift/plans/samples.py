@@ -72,3 +72,46 @@ def CONTAINERS() -> list[tuple[str, str, bytes]]:
         ("a.docx", docx()), ("a.odt", odt()), ("a.epub", epub()), ("a.pdf", pdf()), ("a.flac", flac()), ("a.mp3", mp3()), ("plain.gz", b"x"), ("a.bin", b"x"),
     ]
     return [(n, mime_of(n), b) for n, b in files]
+
+
+def exif(order: str = "<") -> bytes:
+    """A TIFF directory with an artist, a description and an orientation."""
+    import struct
+
+    said = b"sunset at the pier\0"
+    mark = b"II*\0" if order == "<" else b"MM\0*"
+    rows = [(0x010E, 2, len(said), None), (0x0112, 3, 1, struct.pack(order + "HH", 6, 0)), (0x013B, 2, 3, b"Al\0\0")]
+    end = 8 + 2 + 12 * len(rows) + 4
+    body = mark + struct.pack(order + "IH", 8, len(rows))
+    for tag, kind, n, value in rows:
+        body += struct.pack(order + "HHI", tag, kind, n) + (value if value is not None else struct.pack(order + "I", end))
+    return body + b"\0\0\0\0" + said
+
+
+def _riff(kind: bytes, chunks: list[tuple[bytes, bytes]]) -> bytes:
+    inner = kind + b"".join(k + len(d).to_bytes(4, "little") + d + b"\0" * (len(d) % 2) for k, d in chunks)
+    return b"RIFF" + len(inner).to_bytes(4, "little") + inner
+
+
+def _segment(kind: int, data: bytes) -> bytes:
+    return b"\xff" + bytes([kind]) + (len(data) + 2).to_bytes(2, "big") + data
+
+
+XMP = b"<x:xmpmeta><dc:creator>Al</dc:creator></x:xmpmeta>"
+
+
+def IMAGES() -> list[tuple[str, bytes]]:
+    jpeg = b"\xff\xd8" + _segment(0xE0, b"JFIF\0") + _segment(0xE1, b"Exif\0\0" + exif()) + _segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + XMP) + _segment(0xFE, b"hey") + b"\xff\xda\x00\x02xx\xff\xd9"
+    webp = _riff(b"WEBP", [(b"VP8X", b"\x2c\0\0\0" + b"\0" * 6), (b"VP8 ", b"pixels"), (b"EXIF", exif(">")), (b"XMP ", XMP)])
+    return [("a.jpg", jpeg), ("a.tiff", exif()), ("b.tiff", exif(">")), ("a.webp", webp), ("broken.webp", b"RIFF\x04\0\0\0WEBX")]
+
+
+def _id3(frames: list[tuple[bytes, bytes]]) -> bytes:
+    body = b"".join(k + len(d).to_bytes(4, "big") + b"\0\0" + d for k, d in frames)
+    return b"ID3\x03\0\0" + bytes([len(body) >> 21 & 127, len(body) >> 14 & 127, len(body) >> 7 & 127, len(body) & 127]) + body
+
+
+def SOUNDS() -> list[tuple[str, bytes]]:
+    frames = b"\xff\xfb" + b"x" * 40
+    wav = _riff(b"WAVE", [(b"fmt ", b"\x01\0" + b"\0" * 14), (b"LIST", b"INFO" + b"IART" + (2).to_bytes(4, "little") + b"Al"), (b"data", b"pcm!")])
+    return [("a.mp3", _id3([(b"TPE1", b"\0Al"), (b"TIT2", b"\0Song")]) + frames), ("a.flac", flac()), ("a.wav", wav), ("none.mp3", frames)]

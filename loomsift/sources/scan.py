@@ -15,53 +15,61 @@ from ..options import Options
 LISTED = "path string, length long, mtime double"
 
 
-def _walk(root: str, recursive: bool) -> Iterator[tuple[str, int, float]]:
-    """Regular files below a folder, hidden ones too; links are not followed, what can't be read is left out."""
-    stack = [root]
-    while stack:
-        try:
-            with os.scandir(stack.pop()) as entries:
-                for e in entries:
-                    try:
-                        if e.is_dir(follow_symlinks=False):
-                            if recursive:
-                                stack.append(e.path)
-                        elif e.is_file(follow_symlinks=False):
-                            s = e.stat(follow_symlinks=False)
-                            yield e.path, s.st_size, s.st_mtime
-                    except OSError:
-                        continue
-        except OSError:
-            continue
+def _entries(folder: str) -> Iterator[tuple[str, bool, int | None, float | None]]:
+    """(path, is it a folder, length, mtime) of what lies in a folder, hidden files too.
 
-
-def list_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, length, mtime) without reading a body. The top level is listed here, each folder in it by a task."""
-    top, folders = [], []
+    Links are not followed and give no row; what can't be read is left out.
+    """
     try:
-        with os.scandir(path) as entries:
-            for e in entries:
-                if e.is_dir(follow_symlinks=False):
-                    folders.append((e.path,))
-                elif e.is_file(follow_symlinks=False):
-                    s = e.stat(follow_symlinks=False)
-                    top.append((e.path, s.st_size, s.st_mtime))
+        with os.scandir(folder) as found:
+            for e in found:
+                try:
+                    if e.is_dir(follow_symlinks=False):
+                        yield e.path, True, None, None
+                    elif e.is_file(follow_symlinks=False):
+                        s = e.stat(follow_symlinks=False)
+                        yield e.path, False, s.st_size, s.st_mtime
+                except OSError:
+                    continue
     except OSError:
-        pass
-    out = spark.createDataFrame(top, LISTED)
-    if not recursive or not folders:
-        return out
+        return
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for root in b["root"]:
-                yield pd.DataFrame(list(_walk(root, True)), columns=["path", "length", "mtime"])
 
-    return out.unionByName(spark.createDataFrame(folders, "root string").repartition(min(len(folders), 1000)).mapInPandas(walk, LISTED))
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for folder in b["path"]:
+            rows: list[tuple] = []
+            for row in _entries(folder):
+                rows.append(row)
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["path", "folder", "length", "mtime"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["path", "folder", "length", "mtime"]).astype({"length": "Int64"})
+
+
+def list_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(path, length, mtime) of a folder that all machines see, without reading a body.
+
+    Level by level: tasks list the folders of a level, each by itself, and the folders they find are dealt anew for the
+    next one, so that deep and lopsided trees are spread too. The driver sees counts only; a lost level is listed again.
+    """
+    level = spark.createDataFrame([(path,)], "path string")
+    out = None
+    while True:
+        seen = level.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(_scan, "path string, folder boolean, length long, mtime double").persist()
+        files = seen.where("not folder").select("path", "length", "mtime")
+        out = files if out is None else out.unionByName(files)
+        level = seen.where("folder").select("path")
+        if not recursive or level.isEmpty():
+            return out
 
 
 def list_store(spark: SparkSession, path: str, recursive: bool = True, cap: int | None = None) -> DataFrame:
-    """(path, length, modificationTime) of any store that Spark reads; the cap is pushed into the listing."""
+    """(path, length, modificationTime) of any store that Spark reads; the cap is pushed into the listing.
+
+    As Spark lists it: names that begin with a dot or an underscore are left out, and on a local disk links are followed.
+    Where neither will do, list with :func:`list_directory`.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     files = files.select("path", "length", "modificationTime")
     return files if cap is None else files.where(F.col("length") <= cap)
@@ -101,12 +109,44 @@ def routed(files: DataFrame, path: str = "path", body: Column | None = None) ->
     return files.select(*cols, F.octet_length(body).cast("long").alias("length"), body.cast("binary").alias("body"))
 
 
+def canonical(paths: DataFrame) -> DataFrame:
+    """(path, ord) -> with canonical_path, length, is_link and error, found by the tasks: for :func:`add_files`.
+
+    A link keeps its own place as its canonical path, as it isn't followed.
+    """
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in paths.schema)}, canonical_path string, length long, is_link boolean, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import stat
+
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                home, name = os.path.split(os.path.abspath(p))
+                try:
+                    s = os.lstat(p)
+                    link = stat.S_ISLNK(s.st_mode)
+                    rows.append((os.path.join(os.path.realpath(home), name), s.st_size, link, None if link or stat.S_ISREG(s.st_mode) else "no regular file"))
+                except (OSError, ValueError) as e:
+                    rows.append((os.path.join(os.path.realpath(home), name), None, False, getattr(e, "strerror", None) or str(e)))
+            yield b.assign(**{c: list(v) for c, v in zip(("canonical_path", "length", "is_link", "error"), zip(*rows))}).astype({"length": "Int64"}) if rows else pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
+
+    return paths.mapInPandas(run, schema)
+
+
+def path_list(spark: SparkSession, joined: str, separator: str = "\0") -> DataFrame:
+    """(path, ord) of paths joined by NUL, as a file chooser hands them over; empty ones are left out."""
+    rows = spark.createDataFrame([(joined,)], "joined string").select(F.posexplode(F.split("joined", separator)).alias("ord", "path"))
+    return rows.where("path <> ''").select("path", F.col("ord").cast("long").alias("ord"))
+
+
 def add_files(known: DataFrame, listed: DataFrame, options: Options = Options()) -> DataFrame:
-    """New rows of ``listed`` (canonical_path, ord, length, is_link): duplicates of known or earlier paths get no row.
+    """New rows of ``listed`` (canonical_path, ord, length, is_link[, error]): duplicates of known or earlier paths get no row.
 
-    Links and files over the cap get a row with state Unsupported or ErrorWhileInitializing and an error.
+    Links, files over the cap and those that came with an error get a row with state ErrorWhileInitializing and the error.
     """
-    bad = F.when(F.col("is_link"), "symbolic links are not followed")
+    given = F.col("error") if "error" in listed.columns else F.lit(None).cast("string")
+    bad = F.when(F.col("is_link"), "symbolic links are not followed").when(given.isNotNull(), given)
     if options.input_cap is not None:
         bad = bad.when(F.col("length") > options.input_cap, F.format_string(f"%d bytes, the limit is {options.input_cap}", "length"))
     first = listed.groupBy("canonical_path").agg(F.min_by(F.struct(*[c for c in listed.columns if c != "canonical_path"]), "ord").alias("r")).select("canonical_path", "r.*")
