@@ -70,3 +70,27 @@ def test_mixture(mixed):
 def test_run_gives_the_stages_rows(spark, mixed):
     again = corpus_pipeline.run(spark, SF).select("doc_id", "copies", "text").collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, mixed[1].select("doc_id", "copies", "text").collect()))
+
+
+def _run(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path))
+
+
+def test_empty_table(spark, tmp_path):
+    out = _run(spark, tmp_path, spark.read.parquet(f"{SF}/documents.parquet").limit(0))
+    assert out.count() == 0 and out.columns[-2:] == ["copies", "taken"]
+
+
+def test_nulls_repeats_and_further_columns(spark, tmp_path):
+    """Odd rows among real ones go through all stages with their further columns."""
+    real = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    odd = [(None, None, None, None, None), (None, real[0][1] + " and more", "en", None, 5), (-1, None, "en", "s", 0), (-2, "", None, "s", 0), (-3, "word " * 40000, "en", "s", 1), (real[1][0], real[1][1], "en", "src0", 3)]
+    names = ["id", "key", "v", "a", "b", "n", "h", "cut", "component_id", "kept", "size", "taken", "loomsift_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame([(*r, *[f"{c}!" for c in names]) for r in real + odd], schema).repartition(3)
+    out = _run(spark, tmp_path, docs).collect()
+    assert 0 < len(out) <= len(real) + len(odd)
+    for r in out:
+        assert r.text and r.key == "key!" and r.component_id == "component_id!" and isinstance(r.taken, int) and 1 <= r.copies <= 3
