@@ -305,3 +305,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     """The rows of ``docs`` that :func:`near_duplicates` keeps (and those of null doc_id), with all their columns."""
     gone = materialize(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti")
+
+
+#: All pairs that share a shingle, and the closure of their links.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:i + least(len(w), 2) - 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 2) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, n, dense_rank() OVER (ORDER BY s) AS s FROM s JOIN n USING (doc_id)),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
+c AS (SELECT v, min(u) AS c FROM r GROUP BY v)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = doc_id
+"""

@@ -68,4 +68,11 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op1_line_dedup": linedup.SQL, "op2_warc_index": warc.SQL, "op4_chat_formatting": chat.SQL, "op5_decontamination": decontaminate.SQL, "op6_exact_dedup": exact.SQL}
+SQL: dict[str, str] = {
+    "op1_line_dedup": linedup.SQL,
+    "op2_warc_index": warc.SQL,
+    "op4_chat_formatting": chat.SQL,
+    "op5_decontamination": decontaminate.SQL,
+    "op6_exact_dedup": exact.SQL,
+    "op8_minhash_near_dedup": minhash.SQL,
+}

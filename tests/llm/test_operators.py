@@ -163,6 +163,38 @@ def test_a_step_raises_the_right_class():
     assert (p[1] / p[1].sum())[0] > (p[0] / p[0].sum())[0]
 
 
+def test_language_scores_by_hand():
+    """Counts of n-grams taken one by one, and the softmax over them, against the vectorised form."""
+    text = "\u00c9t\u00e9, a\u00dfbc 12 a "
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    grams = []
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        for k in (1, 2, 3, 4):
+            padded = word if k == 1 else f"\0{word}\0"
+            # a border at one end only
+            grams += [g for i in range(len(padded) - k + 1) if (g := padded[i : i + k])[0] != "\0" or g[-1] != "\0"]
+    want = collections.Counter()
+    for g in grams:
+        h = 0
+        for c in g:
+            h = (h * 0x100000001B3 + ord(c) + 1) & mask
+        want[mixed((h + ((len(g) - 1) << 40)) & mask) & (langid.BUCKETS - 1)] += 1
+    at, n = langid.counts(text)
+    assert dict(zip(at.tolist(), n.tolist())) == dict(want)
+    r = np.random.default_rng(9)
+    model = langid.LanguageModel(["x", "y", "z"], r.normal(size=(langid.BUCKETS, 4)).astype(np.float32), r.normal(size=4), 0.1)
+    z = [sum(float(model.table[b, k]) * c for b, c in want.items()) / (sum(want.values()) + langid.SHRINK) + model.bias[k] for k in range(4)]
+    p = [math.exp(x) / sum(map(math.exp, z)) for x in z]
+    lang, score = model.predict(text)
+    assert lang == "xyz"[int(np.argmax(p[:3]))] and math.isclose(score, max(p[:3]), rel_tol=1e-5)
+
+
 # ---- 4 ----
 def test_layouts(spark):
     texts = {
