@@ -7,19 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 #: Bytes hashed at once; longer buffers are cut at white space.
 SEGMENT = 1 << 20
-_POW: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        m = max(n, SEGMENT + 1)
-        with np.errstate(over="ignore"):
-            _POW[:] = [np.concatenate([np.ones(1, np.uint64), np.full(m - 1, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (_P, _PINV)]
-    return _POW[0], _POW[1]
+#: Places in a word whose terms are kept in a table.
+PLACES = 64
+_TABLE: list[np.ndarray] = []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -30,6 +22,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _term(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A random-looking number for a byte at a place of its word."""
+    with np.errstate(over="ignore"):
+        return mix64((place.astype(np.uint64) * np.uint64(256) + byte.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+
+
+def _terms(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    if not _TABLE:
+        _TABLE.append(_term(np.repeat(np.arange(PLACES), 256), np.tile(np.arange(256), PLACES)))
+    out = _TABLE[0][np.minimum(place, PLACES - 1) * 256 + byte]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        out[far] = _term(place[far], byte[far])
+    return out
+
+
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null has length 0."""
     if isinstance(col, pa.ChunkedArray):
@@ -55,8 +63,9 @@ def _is_space(b: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
 
-    Returns (hashes of all words in order, index of each document's first word with a closing total).
-    Words never cross a document's border.
+    A word's hash mixes the sum of terms of its bytes at their places, so no pattern of bytes makes two words collide
+    more often than chance does. Returns (hashes of all words in order, index of each document's first word with a closing
+    total). Words never cross a document's border.
     """
     n = len(data)
     hashes, starts_all = [], []
@@ -71,8 +80,12 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
             if len(ok):
                 end = pos + int(ok[-1])
             else:  # one word longer than a segment
-                while end < n and not (border[end] or _is_space(data[end : end + 1])[0]):
-                    end += 1
+                while end < n:
+                    stop = min(n, end + SEGMENT)
+                    ok = np.flatnonzero(_is_space(data[end:stop]) | border[end:stop])
+                    end = end + int(ok[0]) if len(ok) else stop
+                    if len(ok):
+                        break
         b = ascii_lower(data[pos:end])
         gap = _is_space(b)
         edge = border[pos:end]
@@ -81,10 +94,11 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         nxt = np.concatenate([gap[1:] | edge[1:], [True]])
         e = np.flatnonzero(~gap & nxt) + 1
         if len(s):
-            pw, inv = _powers(len(b) + 1)
+            length = e - s
+            first = np.cumsum(length) - length
+            place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
             with np.errstate(over="ignore"):
-                c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b.astype(np.uint64) * pw[: len(b)], dtype=np.uint64)])
-                h = (c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                h = np.add.reduceat(_terms(place, b[~gap].astype(np.int64)), first) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             hashes.append(mix64(h))
             starts_all.append(s + pos)
         pos = end

@@ -74,6 +74,19 @@ def test_word_hashes_do_not_depend_on_segments(monkeypatch):
     assert (kernels.word_hashes(d, o)[0] == h).all() and h[0] == h[5]
 
 
+def test_words_of_few_letters_do_not_collide():
+    import itertools
+
+    import pyarrow as pa
+
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate({97: 98, 98: 97})
+    words = [thue, thue.translate({97: 98, 98: 97}), *("".join(x) for n in range(1, 14) for x in itertools.product("ab", repeat=n)), "ab" * 40 + "c", "ab" * 39 + "cab"]
+    h, _ = kernels.word_hashes(*kernels.string_buffer(pa.array([" ".join(words)])))
+    assert len(h) == len(words) == len(set(h.tolist()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 45), (60, 60), (70, 71), (70, 71)]
     got = {r.v: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
