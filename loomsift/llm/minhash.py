@@ -34,7 +34,7 @@ BANDS = HASHES // ROWS
 MARGIN = 6.0
 #: Documents of a group that one task holds twice over in the exact rest.
 BLOCK = 1024
-#: Pairs that share one shipped copy of a leader's text.
+#: Members of a bucket that share one shipped copy of their leader's text.
 CHUNK = 256
 
 
@@ -142,15 +142,11 @@ def _verify(k: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact test of a table of pairs (a, b). A leader's text is shipped once for each CHUNK of its partners."""
-    many = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CHUNK}"), "many")
-    cut = materialize(pairs.join(many.hint("merge"), "a", "left").select("a", "b", F.expr(f"pmod(xxhash64(b), 1 + coalesce(n, 0) div {CHUNK})").alias("chunk")), "pairs")
-    left = cut.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "chunk", F.lit(0).alias("other"), F.col("a").alias("b"), "text")
-    right = cut.join(texts.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "chunk", F.lit(1).alias("other"), "b", "text")
+    """Exact test of a table of pairs (a, b, chunk). A leader's text is shipped once for each of its chunks."""
+    left = pairs.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "chunk", F.lit(0).alias("other"), F.col("a").alias("b"), "text")
+    right = pairs.join(texts.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "chunk", F.lit(1).alias("other"), "b", "text")
     both = left.unionByName(right).repartition(width(texts.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "other", "b")
-    out = materialize(both.mapInArrow(_verify(k, percent), "a long, b long"), "links")
-    discard(cut, many)
-    return out
+    return materialize(both.mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
 
 def _compare(k: int, percent: int):
@@ -266,7 +262,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def plausible(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
-        return materialize(p.where(_estimate() >= _floor(percent / 100)).select("a", "b"), "plausible")
+        # a leader's partners in a bucket of n are dealt over n / CHUNK chunks
+        chunk = F.expr(f"pmod(xxhash64(b), 1 + n div {CHUNK})").alias("chunk")
+        return materialize(p.where(_estimate() >= _floor(percent / 100)).select("a", "b", chunk), "plausible")
 
     def led(comp: DataFrame) -> DataFrame:
         """Members (key, id, n, lead) that are in another component than their bucket's leader."""
@@ -276,12 +274,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return materialize(both.where("coalesce(c, id) <> coalesce(lc, lead)").select("key", "id", "n", "lead"), "apart", m=F.count(F.lit(1)))
 
     # one pair a document: with the least leader of its buckets, which is the lesser of the two
-    tested = plausible(members.where("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")))
+    tested = plausible(members.where("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min(F.struct("lead", (-F.col("n")).alias("less"))).alias("m")).select(F.col("m.lead").alias("a"), "b", (-F.col("m.less")).alias("n")))
     links = _links(tested, texts, k, percent)
     comp = connected_components(links)
     apart = led(comp)
     if apart.measured["m"]:  # the leader of each bucket with those still apart from it
-        pairs = plausible(apart.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
+        pairs = apart.groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
+        pairs = plausible(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
         links = links.unionByName(_links(pairs, texts, k, percent))
         discard(apart, comp)
         comp = connected_components(links)
