@@ -84,10 +84,10 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def shuffled(text: str, seed: int) -> str:
     """``text`` with its letters in random order, each where a letter stood."""
-    chars = np.array(list(text))
-    at = np.flatnonzero([c.isalpha() for c in chars.tolist()])
-    chars[at] = chars[np.random.default_rng(seed).permutation(at)]
-    return "".join(chars.tolist())
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    at = np.flatnonzero(_letters()[codes])
+    codes[at] = codes[np.random.default_rng(seed).permutation(at)]
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @dataclass
