@@ -60,3 +60,14 @@ MEMBERS = [
     ("up.tar", None, None, None, None, None, "ParseError"), ("up.zip", None, None, None, None, None, "ParseError"), ("bad.zip", None, None, None, None, None, "ParseError"),
     ("nest.zip", 0, "in.tar", "regular", 0, 10240, None), ("plain.gz", None, None, None, None, None, "UnsupportedFormat"),
 ]
+VIDEO_ITEMS = [("a.mp4", "a.mp4", 0, "Title", "Pier"), ("a.mkv", "a.mkv", 0, "title", "Pier"), ("a.mkv", "a.mkv", 1, "ARTIST", "Al"), ("a.avi", "a.avi", 0, "INAM", "Pier")]
+_MP4_TAGS = 8 + 4 + 8 + 8 + 16 + 4  # meta, its flags, ilst, name, data and its flags, text
+VIDEO_CLEAN = [
+    # sizes stay: the user data is free space, the times in the header are zero
+    ("a.mp4", (b"\0\0\0\x0cftypisom" + (8 + 28 + 8 + _MP4_TAGS).to_bytes(4, "big") + b"moov\0\0\0\x1cmvhd" + b"\0" * 20 + (8 + _MP4_TAGS).to_bytes(4, "big") + b"free" + b"\0" * _MP4_TAGS + b"\0\0\0\x0emdatframes").hex(), False),
+    # the tags, 25 bytes, are a void element of 16 behind its header; the title is blank
+    ("a.mkv", (b"\x1aE\xdf\xa3\x80\x18S\x80g\xb0\x15I\xa9f\x87{\xa9\x84    \xec\x01\0\0\0\0\0\0\x10" + b"\0" * 16 + b"\x1fC\xb6u\x86frames").hex(), False),
+    ("a.avi", (b"RIFF\x2a\0\0\0AVI JUNK\x10\0\0\0" + b"\0" * 16 + b"movi\x06\0\0\0frames").hex(), False),
+]
+PLAIN_CLEAN = [("a.txt", b"# kept".hex(), False), ("a.bmp", b"BMxx".hex(), False), ("a.ppm", b"P6\n\n1 1\n255\n#ab".hex(), False), ("b.pbm", b"P1 \n1 1\n1".hex(), False)]
+PLAIN_ITEMS = [("a.ppm", "a.ppm", 0, "comment line 1", "# by Al"), ("a.ppm", "a.ppm", 1, "comment line 2", "#ab")]

@@ -481,6 +481,34 @@ def image_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hex(_bodies(spark, IMAGES()))
 
 
+@query(_literal(_ITEM_ROW, E.VIDEO_ITEMS))
+def video_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import VIDEOS
+
+    return _items(_bodies(spark, VIDEOS()))
+
+
+@query(_literal(_HEX, E.VIDEO_CLEAN))
+def video_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import VIDEOS
+
+    return _hex(_bodies(spark, VIDEOS()))
+
+
+@query(_literal(_ITEM_ROW, E.PLAIN_ITEMS))
+def plain_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import PLAIN
+
+    return _items(_bodies(spark, PLAIN()))
+
+
+@query(_literal(_HEX, E.PLAIN_CLEAN))
+def plain_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .samples import PLAIN
+
+    return _hex(_bodies(spark, PLAIN()))
+
+
 @query(_literal("ord long, object string", E.PDF_OBJECTS))
 def pdf_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objects of the cleaned PDF; what names them (offsets, identifier) follows from the bytes."""

@@ -115,3 +115,27 @@ def SOUNDS() -> list[tuple[str, bytes]]:
     frames = b"\xff\xfb" + b"x" * 40
     wav = _riff(b"WAVE", [(b"fmt ", b"\x01\0" + b"\0" * 14), (b"LIST", b"INFO" + b"IART" + (2).to_bytes(4, "little") + b"Al"), (b"data", b"pcm!")])
     return [("a.mp3", _id3([(b"TPE1", b"\0Al"), (b"TIT2", b"\0Song")]) + frames), ("a.flac", flac()), ("a.wav", wav), ("none.mp3", frames)]
+
+
+def _box(kind: bytes, *inner: bytes) -> bytes:
+    body = b"".join(inner)
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def _element(ident: int, data: bytes) -> bytes:
+    return ident.to_bytes((ident.bit_length() + 7) // 8, "big") + bytes([0x80 | len(data)]) + data
+
+
+def VIDEOS() -> list[tuple[str, bytes]]:
+    said = _box(b"ilst", _box(b"\xa9nam", _box(b"data", b"\0\0\0\x01\0\0\0\0", b"Pier")))
+    header = b"\0\0\0\0" + b"\x11" * 8 + b"\0" * 8
+    mp4 = _box(b"ftyp", b"isom") + _box(b"moov", _box(b"mvhd", header), _box(b"udta", _box(b"meta", b"\0\0\0\0", said))) + _box(b"mdat", b"frames")
+    tag = _element(0x67C8, _element(0x45A3, b"ARTIST") + _element(0x4487, b"Al"))
+    mkv = _element(0x1A45DFA3, b"") + _element(0x18538067, _element(0x1549A966, _element(0x7BA9, b"Pier")) + _element(0x1254C367, _element(0x7373, tag)) + _element(0x1F43B675, b"frames"))
+    info = b"INFO" + b"INAM" + (4).to_bytes(4, "little") + b"Pier"
+    avi = _riff(b"AVI ", [(b"LIST", info), (b"movi", b"frames")])
+    return [("a.mp4", mp4), ("a.mkv", mkv), ("a.avi", avi)]
+
+
+def PLAIN() -> list[tuple[str, bytes]]:
+    return [("a.txt", b"# kept"), ("a.bmp", b"BMxx"), ("a.ppm", b"P6\n# by Al\n1 1\n255\n#ab"), ("b.pbm", b"P1 # one\n1 1\n1")]
