@@ -7,10 +7,12 @@ the exact comparison of full sets. Exactly equal sets are collapsed first.
 
 Buckets are not expanded into all pairs. Each document is first compared with the least leader of its buckets, then
 with the leader of each bucket in which it is still apart; members that fall into a leader's component need no
-further pair. Buckets that then still hold different components are joined into clusters, and each cluster, or each
-of its buckets where that is less work, is compared exactly in blocks inside tasks (signature estimate, set sizes, full
-sets). Tasks emit verified links only: no link between different components is lost and no group is expanded into pair
-rows.
+further pair. Buckets that then still hold different components are joined into clusters. Those of ``BLOCK`` documents
+or fewer are compared exactly inside one task (signature estimate, set sizes, full sets). The documents of larger ones
+are banded anew by ``FINE_BANDS`` bands of ``FINE_ROWS`` fresh minima, which part what only shares frequent words, and go
+through leaders once more; what is open then is compared exactly in blocks, by cluster or by bucket, whichever ships
+fewer texts. Tasks emit verified links only: no link between different components is lost and no group is expanded
+into pair rows.
 
 Joins that can meet a frequent key have tables on both sides, so that adaptive execution can split it.
 """
@@ -30,6 +32,8 @@ from .session import discard, materialize, bounded_batches, width
 
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
+#: Of the second banding: a pair at 0.8 is missed by all of them with probability 1e-9, one at 0.3 meets with 0.7 %.
+FINE_ROWS, FINE_BANDS = 8, 112
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped unverified.
 MARGIN = 6.0
 #: Documents of a group that one task holds twice over in the exact rest.
@@ -102,6 +106,38 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign(k), SIGNED)
 
 
+def _fine(k: int):
+    """(id, text) -> (id, key): a row for each fine band."""
+    r = np.random.default_rng(20240712)
+    n = FINE_ROWS * FINE_BANDS
+    a, b = r.integers(1, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in enumerate(shingle_sets(*string_buffer(batch.column(1)), k)):
+                if not len(s):
+                    continue
+                m = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+                with np.errstate(over="ignore"):
+                    for at in range(0, len(s), 512):
+                        m = np.minimum(m, (s[at : at + 512, None] * a + b).min(axis=0))
+                    m = mix64(m).reshape(FINE_BANDS, FINE_ROWS)
+                    h = mix64(np.arange(FINE_BANDS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(7))
+                    for j in range(FINE_ROWS):
+                        h = mix64(h * np.uint64(0x9FB21C651E98DF25) + m[:, j])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * FINE_BANDS, pa.int64()), pa.array(h.view(np.int64))], ["id", "key"])
+
+    return run
+
+
+def _members(banded: DataFrame) -> DataFrame:
+    """(id, key) of a table -> (key, id, n, lead) of the buckets that hold more than one document."""
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"), "buckets")
+    out = materialize(banded.join(shared.hint("merge"), "key").select("key", "id", "n", "lead"), "members")
+    discard(banded, shared)
+    return out
+
+
 def _estimate():
     """Collision-corrected similarity of columns ``sa`` and ``sb``."""
     differ = None
@@ -205,8 +241,8 @@ def _pair_batch(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between members of open buckets (key, id, lead, c).
+def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int, all_: bool) -> tuple[DataFrame, DataFrame]:
+    """Links between members of open buckets (key, id, c); without ``all_`` ids of clusters over BLOCK come back undone.
 
     A cluster of buckets is compared as one group, or each of its buckets by itself, whichever ships fewer copies of
     texts: a group of m documents takes m / BLOCK copies of each.
@@ -214,13 +250,15 @@ def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, perce
     spark = texts.sparkSession
     comp = connected_components(now.select(F.col("lead").alias("a"), F.col("id").alias("b")))
     cluster = comp.select(F.col("v").alias("id"), F.col("component").alias("cluster"))
-    held = materialize(now.join(cluster.hint("merge"), "id").select("key", "id", "c", "cluster"), "clustered")
+    held = clustered = materialize(now.join(cluster.hint("merge"), "id").select("key", "id", "c", "cluster"), "clustered")
     rows = F.expr(f"m * ceil(m / {BLOCK})")
-    as_one = held.select("cluster", "id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).select("cluster", rows.alias("one"))
+    as_one = held.select("cluster", "id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).select("cluster", rows.alias("one"), (F.col("m") > BLOCK).alias("large"))
     apart = held.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.sum(rows).alias("each"))
-    size = materialize(as_one.join(apart, "cluster").select("cluster", (F.col("one") <= F.col("each")).alias("whole")), "clusters")
-    held = held.join(size.hint("merge"), "cluster").select("whole", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("key"), "id", "c")
-    held = materialize(held.distinct(), "groups")
+    size = materialize(as_one.join(apart, "cluster").select("cluster", "large", (F.col("one") <= F.col("each")).alias("whole")), "clusters")
+    held = held.join(size.hint("merge"), "cluster")
+    large = materialize(held.where("large").where(F.lit(not all_)).select("id").distinct(), "large", n=F.count(F.lit(1)))
+    held = held.where(F.lit(all_) | ~F.col("large")).select("whole", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("key"), "id", "c")
+    held = groups = materialize(held.distinct(), "groups")
     blocks = materialize(held.groupBy("whole", "key").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("nb")), "blocks")
     laid = held.join(blocks.hint("merge"), ["whole", "key"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
     laid = laid.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
@@ -228,8 +266,55 @@ def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, perce
     rows = laid.join(sigs.hint("merge"), "id").join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id").select(group, "i", "j", "id", "c", "block", "sig", "text")
     rows = rows.repartition(width(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
     out = materialize(rows.mapInArrow(_compare(k, percent), "a long, b long"), "rest")
-    discard(comp, size, blocks)
-    return out
+    discard(comp, clustered, size, groups, blocks)
+    return out, large
+
+
+def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, n) those whose signatures come near enough, with their chunk."""
+    p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
+    # a leader's partners in a bucket of n are dealt over n / CHUNK chunks
+    chunk = F.expr(f"pmod(xxhash64(b), 1 + n div {CHUNK})").alias("chunk")
+    return materialize(p.where(_estimate() >= _floor(percent / 100)).select("a", "b", chunk), "plausible")
+
+
+def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (key, id, n, lead) that are in another component than their bucket's leader."""
+    own = comp.select(F.col("v").alias("id"), F.col("component").alias("c")).hint("merge")
+    leader = comp.select(F.col("v").alias("lead"), F.col("component").alias("lc")).hint("merge")
+    both = members.where("id <> lead").join(own, "id", "left").join(leader, "lead", "left")
+    return materialize(both.where("coalesce(c, id) <> coalesce(lc, lead)").select("key", "id", "n", "lead"), "apart", m=F.count(F.lit(1)))
+
+
+def _settle(members: DataFrame, comp: DataFrame, tested: DataFrame | None, texts: DataFrame, sigs: DataFrame, k: int, percent: int, fine: bool) -> DataFrame:
+    """Components (v, component) after comparing what is still apart in buckets, first with their leaders."""
+
+    def joined(links: DataFrame) -> DataFrame:
+        return connected_components(comp.select(F.col("component").alias("a"), F.col("v").alias("b")).unionByName(links))
+
+    apart = _apart(members, comp)
+    if not apart.measured["m"]:
+        return comp
+    pairs = apart.groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
+    pairs = _plausible(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti") if tested is not None else pairs, sigs, percent)
+    comp = joined(_links(pairs, texts, k, percent))
+    discard(apart, pairs)
+    apart = _apart(members, comp)
+    keys = materialize(apart.where("n > 2").select("key").distinct(), "open_keys", m=F.count(F.lit(1)))
+    if keys.measured["m"]:
+        own = comp.select(F.col("v").alias("id"), F.col("component").alias("c")).hint("merge")
+        now = materialize(members.join(keys.hint("merge"), "key").join(own, "id", "left").select("key", "id", "lead", F.coalesce("c", "id").alias("c")), "open")
+        rest, large = _exact_rest(now, texts, sigs, k, percent, all_=fine)
+        comp = joined(rest)
+        discard(now, rest)
+        if large.measured["n"]:
+            those = texts.join(large.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+            finer = _members(materialize(those.mapInArrow(_fine(k), "id long, key long"), "fine"))
+            comp = _settle(finer, comp, None, texts, sigs, k, percent, fine=True)
+            discard(finer)
+        discard(large)
+    discard(apart, keys)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -250,50 +335,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of_set = signed.where(named).select("doc_id", "n_shingles", "set_key").join(rep.hint("merge"), "set_key").select("doc_id", "n_shingles", "rep")
     classes = materialize(of_set.unionByName(signed.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "classes")
     heads = signed.where(named).join(classes.where("doc_id = rep").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = materialize(heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "banded")
-    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"), "buckets")
-    members = materialize(banded.join(shared.hint("merge"), "key").select("key", "id", "n", "lead"), "members")
-    discard(rep, banded, shared)
+    members = _members(materialize(heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "banded"))
+    discard(rep)
     involved = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "involved")
     # any row of a repeated doc_id; equal rows have equal texts. Always a merge join: the plan is the same at every size
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sigs = materialize(signed.join(involved.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]), "sigs")
     discard(signed)
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
-        # a leader's partners in a bucket of n are dealt over n / CHUNK chunks
-        chunk = F.expr(f"pmod(xxhash64(b), 1 + n div {CHUNK})").alias("chunk")
-        return materialize(p.where(_estimate() >= _floor(percent / 100)).select("a", "b", chunk), "plausible")
-
-    def led(comp: DataFrame) -> DataFrame:
-        """Members (key, id, n, lead) that are in another component than their bucket's leader."""
-        own = comp.select(F.col("v").alias("id"), F.col("component").alias("c")).hint("merge")
-        leader = comp.select(F.col("v").alias("lead"), F.col("component").alias("lc")).hint("merge")
-        both = members.where("id <> lead").join(own, "id", "left").join(leader, "lead", "left")
-        return materialize(both.where("coalesce(c, id) <> coalesce(lc, lead)").select("key", "id", "n", "lead"), "apart", m=F.count(F.lit(1)))
-
     # one pair a document: with the least leader of its buckets, which is the lesser of the two
-    tested = plausible(members.where("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min(F.struct("lead", (-F.col("n")).alias("less"))).alias("m")).select(F.col("m.lead").alias("a"), "b", (-F.col("m.less")).alias("n")))
+    first = members.where("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min(F.struct("lead", (-F.col("n")).alias("less"))).alias("m"))
+    tested = _plausible(first.select(F.col("m.lead").alias("a"), "b", (-F.col("m.less")).alias("n")), sigs, percent)
     links = _links(tested, texts, k, percent)
-    comp = connected_components(links)
-    apart = led(comp)
-    if apart.measured["m"]:  # the leader of each bucket with those still apart from it
-        pairs = apart.groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
-        pairs = plausible(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
-        links = links.unionByName(_links(pairs, texts, k, percent))
-        discard(apart, comp)
-        comp = connected_components(links)
-        apart = led(comp)
-        keys = materialize(apart.where("n > 2").select("key").distinct(), "open_keys", m=F.count(F.lit(1)))
-        if keys.measured["m"]:
-            own = comp.select(F.col("v").alias("id"), F.col("component").alias("c")).hint("merge")
-            now = members.join(keys.hint("merge"), "key").join(own, "id", "left").select("key", "id", "lead", F.coalesce("c", "id").alias("c"))
-            rest = _exact_rest(materialize(now, "open"), texts, sigs, k, percent)
-            stars = comp.select(F.col("component").alias("a"), F.col("v").alias("b"))
-            comp = connected_components(stars.unionByName(rest))
-        discard(keys, pairs)
-    discard(apart, tested, members, involved, texts, sigs)
+    comp = _settle(members, connected_components(links), tested, texts, sigs, k, percent, fine=False)
+    discard(tested, members, involved, texts, sigs)
     out = classes.join(comp.withColumnRenamed("v", "rep").hint("merge"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
     discard(classes, comp, links)
