@@ -26,7 +26,7 @@ from .session import bounded_batches, discard, materialize
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
 #: Training rows of each language, those of least hash: PER_LANGUAGE, or fewer (LEAST at the fewest) where there are so many
 #: languages that the sample would exceed SAMPLE rows. A documented bound on the sample; every language is learned.
-PER_LANGUAGE, SAMPLE, LEAST = 400, 16_000, 20
+PER_LANGUAGE, SAMPLE, LEAST = 400, 8_000, 20
 EPOCHS = 6
 #: A text's mean is taken as if it had so many n-grams more that say nothing, so that a few words decide less than many.
 SHRINK = 64
@@ -122,7 +122,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((lang, pick, True, *counts(shuffled(text, pick % (1 << 32)))))
         cols = list(zip(*rows)) or [()] * 5
         arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())]
-        arrays += [pa.array([x.astype(np.int32).tobytes() for x in c], pa.binary()) for c in cols[3:]]
+        arrays += [pa.array([x.astype(t).tobytes() for x in c], pa.binary()) for c, t in zip(cols[3:], (np.uint16, np.int32))]
         yield pa.RecordBatch.from_arrays(arrays, ["lang", "pick", "other", "at", "n"])
 
 
@@ -197,7 +197,7 @@ def train(docs: DataFrame, where: Column | None = None) -> LanguageModel:
     discard(sizes)
     order = sorted((p, lang, o, i) for i, (lang, p, o) in enumerate(zip(*(got.column(c).to_pylist() for c in ("lang", "pick", "other")))))
     at, n = got.column("at"), got.column("n")
-    data = [(lang, o, np.frombuffer(at[i].as_py(), np.int32), np.frombuffer(n[i].as_py(), np.int32)) for _, lang, o, i in order]
+    data = [(lang, o, np.frombuffer(at[i].as_py(), np.uint16), np.frombuffer(n[i].as_py(), np.int32)) for _, lang, o, i in order]
     data = [d for d in data if len(d[2])]
     languages = sorted({lang for lang, o, _, _ in data if not o})
     number = {x: i for i, x in enumerate(languages)}
