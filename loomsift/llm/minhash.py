@@ -37,7 +37,7 @@ FINE_ROWS, FINE_BANDS = 8, 112
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped unverified.
 MARGIN = 6.0
 #: Documents of a group that one task holds twice over in the exact rest.
-BLOCK = 1024
+BLOCK = 128
 #: Members of a bucket that share one shipped copy of their leader's text.
 CHUNK = 256
 
