@@ -99,13 +99,10 @@ class LanguageModel:
     floor: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total, n = np.zeros(len(self.bias)), 0
-        for b in buckets(text or ""):
-            total += self.table[b].sum(axis=0, dtype=np.float64)
-            n += len(b)
-        if not n or not self.languages:
+        at, n = counts(text or "")
+        if not len(at) or not self.languages:
             return "und", 0.0
-        z = total / (n + SHRINK) + self.bias
+        z = (n @ self.table[at].astype(np.float64)) / (n.sum() + SHRINK) + self.bias
         p = np.exp(z - z.max())
         p /= p.sum()
         k = int(p[:-1].argmax())
