@@ -20,6 +20,7 @@ Joins that can meet a frequent key have tables on both sides, so that adaptive e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,20 +43,28 @@ BLOCK = 128
 CHUNK = 256
 
 
+@lru_cache(1)
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240711)
     a = r.integers(1, 2**63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     return a, r.integers(0, 2**63, HASHES, dtype=np.int64).astype(np.uint64)
 
 
-def signature(sets: np.ndarray) -> np.ndarray:
-    """128 32-bit minima of a non-empty set of 64-bit hashes; blocks bound memory for very long texts."""
-    a, b = _coefficients()
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def _minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least value of each function a * h + b over a non-empty set; blocks fit in a cache and bound memory."""
+    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 15) // len(a))
     with np.errstate(over="ignore"):
-        for i in range(0, len(sets), 4096):
-            out = np.minimum(out, (sets[i : i + 4096, None] * a + b).min(axis=0))
-    return (mix64(out) >> np.uint64(32)).astype(np.uint64)
+        for i in range(0, len(hashes), step):
+            x = a[:, None] * hashes[None, i : i + step]
+            x += b[:, None]
+            np.minimum(out, x.min(axis=1), out=out)
+    return out
+
+
+def signature(sets: np.ndarray) -> np.ndarray:
+    """128 32-bit minima of a non-empty set of 64-bit hashes."""
+    return (mix64(_minima(sets, *_coefficients())) >> np.uint64(32)).astype(np.uint64)
 
 
 def _pack(minima: np.ndarray) -> np.ndarray:
@@ -117,11 +126,8 @@ def _fine(k: int):
             for i, s in enumerate(shingle_sets(*string_buffer(batch.column(1)), k)):
                 if not len(s):
                     continue
-                m = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+                m = mix64(_minima(s, a, b)).reshape(FINE_BANDS, FINE_ROWS)
                 with np.errstate(over="ignore"):
-                    for at in range(0, len(s), 512):
-                        m = np.minimum(m, (s[at : at + 512, None] * a + b).min(axis=0))
-                    m = mix64(m).reshape(FINE_BANDS, FINE_ROWS)
                     h = mix64(np.arange(FINE_BANDS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(7))
                     for j in range(FINE_ROWS):
                         h = mix64(h * np.uint64(0x9FB21C651E98DF25) + m[:, j])
