@@ -250,21 +250,29 @@ def _pair_batch(a: list, b: list) -> pa.RecordBatch:
 def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int, all_: bool) -> tuple[DataFrame, DataFrame]:
     """Links between members of open buckets (key, id, c); without ``all_`` ids of clusters over BLOCK come back undone.
 
-    A cluster of buckets is compared as one group, or each of its buckets by itself, whichever ships fewer copies of
-    texts: a group of m documents takes m / BLOCK copies of each.
+    With it a cluster of buckets is compared as one group, or each of its buckets by itself, whichever ships fewer copies
+    of texts: a group of m documents takes m / BLOCK copies of each.
     """
     spark = texts.sparkSession
     comp = connected_components(now.select(F.col("lead").alias("a"), F.col("id").alias("b")))
     cluster = comp.select(F.col("v").alias("id"), F.col("component").alias("cluster"))
-    held = clustered = materialize(now.join(cluster.hint("merge"), "id").select("key", "id", "c", "cluster"), "clustered")
+    clustered = materialize(now.join(cluster.hint("merge"), "id").select("key", "id", "c", "cluster"), "clustered")
+    ids = clustered.select("cluster", "id", "c").distinct()
     rows = F.expr(f"m * ceil(m / {BLOCK})")
-    as_one = held.select("cluster", "id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).select("cluster", rows.alias("one"), (F.col("m") > BLOCK).alias("large"))
-    apart = held.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.sum(rows).alias("each"))
-    size = materialize(as_one.join(apart, "cluster").select("cluster", "large", (F.col("one") <= F.col("each")).alias("whole")), "clusters")
-    held = held.join(size.hint("merge"), "cluster")
-    large = materialize(held.where("large").where(F.lit(not all_)).select("id").distinct(), "large", n=F.count(F.lit(1)))
-    held = held.where(F.lit(all_) | ~F.col("large")).select("whole", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("key"), "id", "c")
-    held = groups = materialize(held.distinct(), "groups")
+    as_one = ids.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    if all_:
+        apart = clustered.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.sum(rows).alias("each"))
+        size = materialize(as_one.select("cluster", rows.alias("one")).join(apart, "cluster").select("cluster", (F.col("one") <= F.col("each")).alias("whole")), "clusters")
+        held = clustered.join(size.hint("merge"), "cluster").select("whole", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("key"), "id", "c").distinct()
+        large = ids.limit(0).select("id")
+        large.measured = {"n": 0}
+    else:
+        # a small cluster as one group: each of its documents goes to one task
+        size = materialize(as_one.select("cluster", (F.col("m") > BLOCK).alias("large")), "clusters")
+        sized = ids.join(size.hint("merge"), "cluster")
+        large = materialize(sized.where("large").select("id"), "large", n=F.count(F.lit(1)))
+        held = sized.where("not large").select(F.lit(True).alias("whole"), F.col("cluster").alias("key"), "id", "c")
+    held = groups = materialize(held, "groups")
     blocks = materialize(held.groupBy("whole", "key").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("nb")), "blocks")
     laid = held.join(blocks.hint("merge"), ["whole", "key"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
     laid = laid.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
