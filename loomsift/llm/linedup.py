@@ -254,8 +254,9 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if any(cuts):
             i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_cut")
             done = [apply_cut(t.encode(), c) if c else (t, 0) for t, c in zip(batch.column(i).to_pylist(), cuts)]
-            batch = batch.set_column(i, pa.field("text", pa.string()), pa.array([d[0] for d in done], pa.string()))
-            batch = batch.set_column(j, pa.field("n_cut", pa.int64()), pa.array([d[1] for d in done], pa.int64()))
+            # with the batch's own fields: all batches of a task go into one stream, those without cuts unchanged
+            for at, values in zip((i, j), zip(*done)):
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
         yield batch
 
 

@@ -143,3 +143,10 @@ def test_odd_rows(spark):
     none = docs.limit(0)
     assert linedup.drop_repeated_lines(docs).columns == kept.columns
     assert linedup.dedup_lines(none).count() == 0 and linedup.drop_repeated_lines(none).count() == 0
+
+
+def test_batches_with_and_without_cuts_in_one_task(spark):
+    p = passage("q")
+    docs = spark.createDataFrame([(i, f"own {i}\n{p}" if i < 2000 else f"own {i}") for i in range(8000)], "doc_id long, text string")
+    got = linedup.dedup_lines(docs).collect()
+    assert len(got) == 8000 and all(r.text == (f"own {r.doc_id}\n{p}" if r.doc_id == 0 else f"own {r.doc_id}") and r.n_cut == (0 < r.doc_id < 2000) for r in got)
