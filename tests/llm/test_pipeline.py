@@ -94,3 +94,11 @@ def test_nulls_repeats_and_further_columns(spark, tmp_path):
     assert 0 < len(out) <= len(real) + len(odd)
     for r in out:
         assert r.text and r.key == "key!" and r.component_id == "component_id!" and isinstance(r.taken, int) and 1 <= r.copies <= 3
+
+
+def test_line_dedup_leaves_most_documents_alone(spark):
+    shared = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"own {i}\n{shared}" if i < 2000 else f"own {i}", 7) for i in range(8000)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, docs, SF).collect()
+    assert {r.doc_id: r.text for r in got} == {i: f"own {i}" if i else f"own 0\n{shared}" for i in range(8000)}
+    assert all(r.n_chars == (len(r.text) if 0 < r.doc_id < 2000 else 7) for r in got)
