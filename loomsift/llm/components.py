@@ -1,12 +1,46 @@
-"""Connected components over an edge table: hook each vertex to its least neighbour, jump to the roots, contract."""
+"""Connected components over an edge table: hook each vertex to its least neighbour, jump to the roots, contract.
+
+Up to ``ONE_TASK`` edges that is done in one task's memory, beyond that by rounds of joins; both give the same table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import discard, materialize
 
+#: Distinct edges that one task takes: 16 MB of them. A round of joins costs the driver several jobs and their plans.
+ONE_TASK = 1 << 20
+
+
+def label(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of edges -> (vertices, least vertex that each reaches)."""
+    v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(v))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return v, v[root]
+
+
+def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for batch in batches:
+        for i in range(2):
+            ends[i].append(batch.column(i).to_numpy(zero_copy_only=False))
+    v, least = label(*(np.concatenate(x) for x in ends))
+    for i in range(0, len(v), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in (v, least)], ["v", "component"])
+
 
 def _roots(parent: DataFrame) -> DataFrame:
     """(v, p) with p < v -> (v, p) with p the end of v's chain; each job halves the chains' lengths."""
@@ -29,6 +63,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     cur = materialize(edges.where("a is not null and b is not null and a <> b").select(*pair).distinct(), "edges", n=F.count(F.lit(1)))
+    if cur.measured["n"] <= ONE_TASK:
+        out = materialize(cur.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_label_rows, "v long, component long"), "comp")
+        discard(cur)
+        return out
     comp = cur.select(F.col("b").alias("v"), F.col("a").alias("component")).limit(0)
     spent = []
     while cur.measured["n"]:

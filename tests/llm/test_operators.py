@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomsift.llm import chat, decontaminate, dom, exact, htmlmodel, htmlpages, kernels, langid, linedup, minhash, mixing, quality, queries, warc
+from loomsift.llm import chat, components, decontaminate, dom, exact, htmlmodel, htmlpages, kernels, langid, linedup, minhash, mixing, quality, queries, warc
 from loomsift.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +94,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in r.integers(-40, 140, (110, 2))] + [(i, i + 7) for i in range(1000, 1200, 7)] + [(None, 1), (2, None)]
+    want = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            both = want.setdefault(a, {a}) | want.setdefault(b, {b})
+            want |= dict.fromkeys(both, both)
+    wrote = []
+    monkeypatch.setattr(components, "materialize", lambda df, label="table", f=components.materialize, **k: (wrote.append(label), f(df, label, **k))[1])
+    docs = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert {x.v: x.component for x in connected_components(docs).collect()} == {v: min(x) for v, x in want.items()}
+    assert len(wrote) == 2  # each further table is a plan more that the driver keeps
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert {x.v: x.component for x in connected_components(docs).collect()} == {v: min(x) for v, x in want.items()}
+    assert len(wrote) > 6
+
+
 # ---- 1 ----
 def test_line_dedup_odd(odd, none):
     assert linedup.dedup_lines(odd).count() == len(ODD) and linedup.drop_repeated_lines(none).count() == 0
