@@ -256,18 +256,23 @@ def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, perce
     spark = texts.sparkSession
     comp = connected_components(now.select(F.col("lead").alias("a"), F.col("id").alias("b")))
     cluster = comp.select(F.col("v").alias("id"), F.col("component").alias("cluster"))
-    clustered = materialize(now.join(cluster.hint("merge"), "id").select("key", "id", "c", "cluster"), "clustered")
-    ids = clustered.select("cluster", "id", "c").distinct()
+    # a row for each document, and one for each bucket: none for each place of a document in a bucket
+    ids = materialize(now.select("id", "c").distinct().join(cluster.hint("merge"), "id").select("cluster", "id", "c"), "clustered")
     rows = F.expr(f"m * ceil(m / {BLOCK})")
     as_one = ids.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     if all_:
-        apart = clustered.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.sum(rows).alias("each"))
+        keys = now.groupBy("key").agg(F.min("lead").alias("lead"), F.count(F.lit(1)).alias("m"))
+        keys = materialize(keys.join(cluster.withColumnRenamed("id", "lead").hint("merge"), "lead").select("cluster", "key", "m"), "keys")
+        apart = keys.groupBy("cluster").agg(F.sum(rows).alias("each"))
         size = materialize(as_one.select("cluster", rows.alias("one")).join(apart, "cluster").select("cluster", (F.col("one") <= F.col("each")).alias("whole")), "clusters")
-        held = clustered.join(size.hint("merge"), "cluster").select("whole", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("key"), "id", "c").distinct()
+        held = ids.join(size.where("whole").hint("merge"), "cluster").select(F.lit(True).alias("whole"), F.col("cluster").alias("key"), "id", "c")
+        single = keys.join(size.where("not whole").hint("merge"), "cluster").select("key")
+        held = held.unionByName(now.join(single.hint("merge"), "key").select(F.lit(False).alias("whole"), "key", "id", "c"))
         large = ids.limit(0).select("id")
         large.measured = {"n": 0}
     else:
         # a small cluster as one group: each of its documents goes to one task
+        keys = None
         size = materialize(as_one.select("cluster", (F.col("m") > BLOCK).alias("large")), "clusters")
         sized = ids.join(size.hint("merge"), "cluster")
         large = materialize(sized.where("large").select("id"), "large", n=F.count(F.lit(1)))
@@ -280,7 +285,7 @@ def _exact_rest(now: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, perce
     rows = laid.join(sigs.hint("merge"), "id").join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id").select(group, "i", "j", "id", "c", "block", "sig", "text")
     rows = rows.repartition(width(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
     out = materialize(rows.mapInArrow(_compare(k, percent), "a long, b long"), "rest")
-    discard(comp, clustered, size, groups, blocks)
+    discard(comp, ids, keys, size, groups, blocks)
     return out, large
 
 

@@ -388,6 +388,28 @@ def test_near_duplicates(spark, k, block, rows_a_band, monkeypatch):
     assert got == brute_components(rows, k, 80)
 
 
+@pytest.mark.parametrize("fine_rows", [8, 1])
+def test_exact_rest_has_a_row_a_document(spark, fine_rows, monkeypatch):
+    """Not one for each place of a document in an open bucket, of which there are up to BANDS or FINE_BANDS."""
+    for name, value in (("BLOCK", 4), ("ROWS", 1), ("BANDS", 128), ("FINE_ROWS", fine_rows), ("FINE_BANDS", 32)):
+        monkeypatch.setattr(minhash, name, value)
+    r = np.random.default_rng(5)
+    common = [f"w{x}" for x in range(60)]
+    rows = [(i, " ".join([*common, *(f"x{x}" for x in r.integers(0, 90, 40))])) for i in range(90)]
+    counts = collections.defaultdict(list)
+
+    def counted(df, label="table", f=minhash.materialize, **k):
+        out = f(df, label, **k)
+        counts[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80)
+    assert counts["open"] and max(counts["open"]) > 2 * len(rows)
+    assert max(counts["clustered"]) <= len(rows)
+
+
 def test_near_duplicates_odd(spark, odd, none):
     got = minhash.near_duplicates(odd, 5, 80)
     assert got.count() == len(ODD) and {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
