@@ -29,27 +29,68 @@ def _encode(groups: list | None) -> list | None:
     return None if groups is None else [{"filename": g, "items": [{"key": k, "value": v} for k, v in items]} for g, items in groups]
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[tuple[str, str, bytes | None]]:
+    """(filename, mime_type, body) of a batch of _INPUT, one body at a time."""
+    return ((n, m, x.as_py()) for n, m, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)))
+
+
 def process(files: DataFrame, options: Options = Options(), read: bool = True, clean: bool = False) -> DataFrame:
     """(file_id, filename, groups, error_class, error, cleaned, clean_error_class, clean_error) of files with bodies."""
     _bounded(files.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
         from ..formats.registry import clean_body, read_groups, safely
 
-        for b in batches:
-            names, mimes, bodies = (b.column(i).to_pylist() for i in (1, 2, 3))
-            nothing = (None, None, None)
-            got = [safely(read_groups, x, n, m, options) if read else nothing for n, m, x in zip(names, mimes, bodies)]
-            done = [safely(clean_body, x, n, m, options) if clean else nothing for n, m, x in zip(names, mimes, bodies)]
-            cols = [b.column(0), b.column(1), pa.array([_encode(g[0]) for g in got], pa.list_(_GROUP)), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
-            cols += [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["file_id", "filename", "groups", "error_class", "error", "cleaned", "clean_error_class", "clean_error"])
+        nothing = (None, None, None)
+        got, done = [], []
+        for n, m, x in _rows(b):
+            got.append(safely(read_groups, x, n, m, options) if read else nothing)
+            done.append(safely(clean_body, x, n, m, options) if clean else nothing)
+        cols = [b.column(0), b.column(1), pa.array([_encode(g[0]) for g in got], pa.list_(_GROUP)), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
+        cols += [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=["file_id", "filename", "groups", "error_class", "error", "cleaned", "clean_error_class", "clean_error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(one, batches)  # nothing of a batch is held while the next one is read
 
     kind = files.schema["file_id"].dataType.simpleString()
     schema = f"file_id {kind}, filename string, groups {GROUPS}, error_class string, error string, cleaned binary, clean_error_class string, clean_error string"
     return files.select(*_INPUT).mapInArrow(run, schema)
 
 
+def recheck(files: DataFrame, options: Options = Options(), read: bool = True, clean: bool = True) -> DataFrame:
+    """(file_id, filename, groups, same, error_class, error) after cleaning: what is left to read, and whether cleaning once more changes nothing.
+
+    The worker that cleans a body also looks at it anew: a task has one Python process, and no table of bodies meets
+    itself. What fails has null for both; a file without a body stays the same.
+    """
+    _bounded(files.sparkSession)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        from ..formats.registry import clean_body, read_groups, safely
+
+        groups, same, errors = [], [], []
+        for n, m, x in _rows(b):
+            body, *error = safely(clean_body, x, n, m, options)
+            got = again = None
+            if body is not None and read:
+                got, *error = safely(read_groups, body, n, m, options)
+            if body is not None and clean:
+                again, *failed = safely(clean_body, body, n, m, options)
+                error = error if error[0] else failed
+            groups.append(_encode(got))
+            same.append(None if not clean or again is None and x is not None else again == body)
+            errors.append(error)
+        cols = [b.column(0), b.column(1), pa.array(groups, pa.list_(_GROUP)), pa.array(same, pa.bool_()), pa.array([e[0] for e in errors], pa.string()), pa.array([e[1] for e in errors], pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=["file_id", "filename", "groups", "same", "error_class", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(one, batches)
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select(*_INPUT).mapInArrow(run, f"file_id {kind}, filename string, groups {GROUPS}, same boolean, error_class string, error string")
+
+
 def metadata_items(processed: DataFrame) -> DataFrame:
     """(file_id, group_ord, group_name, item_ord, key, value), in file order; duplicates stay."""
     g = processed.select("file_id", F.posexplode("groups").alias("group_ord", "g"))

@@ -88,21 +88,14 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("file_id").alias("page_id"), F.col("cleaned").cast("string").alias("html"))
 
 
-def _cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = ops.process(_pages(spark, sf_dir), read=False, clean=True)
-    return done.select("file_id", "filename", F.lit("text/html").alias("mime_type"), F.col("cleaned").alias("body"))
-
-
 @query("SELECT page_id, TRUE AS same FROM pages")
 def html_clean_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = _cleaned_pages(spark, sf_dir)
-    twice = ops.process(once, read=False, clean=True).select(F.col("file_id").alias("page_id"), F.sha2("cleaned", 256).alias("b"))
-    return once.select(F.col("file_id").alias("page_id"), F.sha2("body", 256).alias("a")).join(twice, "page_id").select("page_id", (F.col("a") == F.col("b")).alias("same"))
+    return ops.recheck(_pages(spark, sf_dir), read=False).select(F.col("file_id").alias("page_id"), "same")
 
 
 @query("SELECT page_id, 0::BIGINT AS n_items FROM pages")
 def html_read_after_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = ops.process(_cleaned_pages(spark, sf_dir))
+    again = ops.recheck(_pages(spark, sf_dir), clean=False)
     return again.select(F.col("file_id").alias("page_id"), S.total_count(F.col("groups")).alias("n_items"))
 
 

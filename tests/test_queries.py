@@ -49,6 +49,33 @@ def test_query(spark, con, name):
     assert rows(df.columns, got) == rows(names, want)
 
 
+@pytest.mark.parametrize("name", ["html_clean_idempotent", "html_read_after_clean"])
+def test_cleaned_pages_are_looked_at_in_one_pass(spark, tmp_path, name):
+    """A Python process a task and no join, so ids that are null or come twice, and pages without html, keep their rows."""
+    pages = [(1, "<title>T</title><script>x</script>a"), (1, "<p onclick=x>b"), (None, "<!-- c -->d"), (2, None), (3, "")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    df = q.QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(df.columns, c.execute(q.SQL[name]).fetchall())
+
+
+def test_recheck_tells_what_cleaning_left(spark):
+    """As two passes of process do; cleaning the second page shifts its quotes, so that a handler is left. The first error is told."""
+    files = [(1, "a.html", "text/html", b"<title>T</title>"), (2, "b.html", "text/html", b"<p 'a onx=1' b>' onclick=z>"), (3, "n.html", "text/html", None), (4, "a.bin", "x/y", b"x"), (5, "c.torrent", "application/x-bittorrent", b"x")]
+    df = spark.createDataFrame([(i, n, m, b and bytearray(b)) for i, n, m, b in files], "file_id long, filename string, mime_type string, body binary")
+    got = {r.file_id: (r.groups, r.same, r.error_class) for r in ops.recheck(df).collect()}
+    once = ops.process(df, read=False, clean=True)
+    first = {r.file_id: r for r in once.collect()}
+    twice = {r.file_id: r for r in ops.process(once.join(df.select("file_id", "mime_type"), "file_id").withColumn("body", F.col("cleaned")), clean=True).collect()}
+    for i, (groups, same, error) in got.items():
+        assert (groups, error) == (twice[i].groups, first[i].clean_error_class)
+        assert same is (True if i == 3 else None if first[i].cleaned is None else first[i].cleaned == twice[i].cleaned)
+    assert [got[i][1] for i in range(1, 6)] == [True, False, True, None, None]
+
+
 def test_scan_follows_no_links(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.html").write_text("<title>T</title>")
